@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +43,23 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="sitesieve-")
+    made_up = tempfile.mkdtemp(prefix="sitesieve-")
+    spark.sparkContext.setCheckpointDir(made_up)
+    return made_up
+
+
+def _cut_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/sitesieve-{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and continue from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the shared folder and continue from there.
+
+    Unlike a row checkpoint the written table keeps column pruning and known
+    sizes, and it is computed once. It survives the loss of any executor. All
+    tables of an application lie below one folder, to be removed after it.
+    """
+    spark = df.sparkSession
+    path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
