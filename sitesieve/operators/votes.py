@@ -82,16 +82,18 @@ def with_page_flags(pages: DataFrame) -> DataFrame:
 def summarise_pages(votes: DataFrame) -> DataFrame:
     """Per page: vote and label counts, top label, plurality and unanimity flags."""
     if "labels" in votes.columns:
-        return votes.filter(F.size("labels") > 0).select(
+        ranked = votes.filter(F.size("labels") > 0).select(
+            "visit_id", F.size("labels").alias("n"), on_lists.ranked(F.col("labels")).alias("ranked")
+        )
+        top, runner_up = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+        return ranked.select(
             "visit_id",
-            F.size("labels").cast("bigint").alias("n_votes"),
-            F.size(F.array_distinct("labels")).cast("bigint").alias("n_labels"),
-            F.size(
-                F.filter("labels", lambda x: x.eqNullSafe(on_lists.majority(F.col("labels"))))
-            ).cast("bigint").alias("top_votes"),
-            on_lists.majority(F.col("labels")).alias("top_label"),
-            on_lists.has_majority(F.col("labels")).alias("has_majority"),
-            on_lists.is_unanimous(F.col("labels")).alias("unanimous"),
+            F.col("n").cast("bigint").alias("n_votes"),
+            F.size("ranked").cast("bigint").alias("n_labels"),
+            (-top["votes"]).cast("bigint").alias("top_votes"),
+            top["label"].alias("top_label"),
+            (runner_up.isNull() | (top["votes"] < runner_up["votes"])).alias("has_majority"),
+            (F.size("ranked") == 1).alias("unanimous"),
         )
     return with_page_flags(label_counts(votes).groupBy("visit_id").agg(*page_summary_columns()))
 

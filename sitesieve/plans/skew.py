@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Most rows of a lookup table that may be copied to every executor.
 BROADCAST_ROWS = 200_000
 # A key with more rows than this on the large side is joined by broadcast.
@@ -16,9 +18,17 @@ def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return table.count() <= rows
 
 
-def heavy_keys(frequencies: DataFrame, key: str, count: str, limit: int) -> DataFrame:
-    """Keys with more than `limit` rows. There are at most total/limit of them."""
-    return frequencies.filter(F.col(count) > limit).select(key)
+def heavy_keys(
+    frequencies: DataFrame, key: str, count: str, heavy_rows: int, most_keys: int
+) -> DataFrame:
+    """Keys with too many rows for one task, at most `most_keys` of them.
+
+    More than `most_keys` keys cannot each hold over 1/most_keys of all rows, so
+    raising the limit to that share bounds their number.
+    """
+    total = frequencies.agg(F.sum(count).alias("n")).first()["n"] or 0
+    limit = max(heavy_rows, total // most_keys)
+    return cut_lineage(frequencies.filter(F.col(count) > limit).select(key))
 
 
 def lookup_join(
@@ -42,7 +52,9 @@ def lookup_join(
         return rows.join(F.broadcast(table), key)
     if frequencies is None:
         frequencies = rows.groupBy(key).agg(F.count(F.lit(1)).alias(count))
-    heavy = heavy_keys(frequencies, key, count, heavy_rows).limit(broadcast_rows)
+    heavy = heavy_keys(frequencies, key, count, heavy_rows, broadcast_rows)
+    if heavy.isEmpty():
+        return rows.join(table, key)
     heavy_table = table.join(F.broadcast(heavy), key, "left_semi")
     hot = rows.join(F.broadcast(heavy_table), key)
     light_rows = rows.join(F.broadcast(heavy), key, "left_anti")

@@ -62,4 +62,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cut = spark.read.schema(df.schema).parquet(path)
+    cut.cut_path = path
+    return cut
+
+
+def release(cut: DataFrame) -> None:
+    """Delete the table behind a frame made by `cut_lineage`, once nothing reads it any more."""
+    spark = cut.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(cut.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
