@@ -39,6 +39,7 @@ def lookup_join(
     count: str = "n",
     broadcast_rows: int = BROADCAST_ROWS,
     heavy_rows: int = HEAVY_ROWS,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join of `rows` with `table` (unique `key`), safe against hot keys.
 
@@ -46,13 +47,15 @@ def lookup_join(
     often its keys occur in `rows`: the few heavy keys are broadcast, so their
     rows stay where they are, and only the light rest is shuffled. Every row is
     in exactly one of the two parts. `frequencies` (key, count) saves a
-    counting pass where the caller knows them.
+    counting pass where the caller knows them, and `heavy` the search for heavy
+    keys where several joins share them.
     """
     if fits_broadcast(table, broadcast_rows):
         return rows.join(F.broadcast(table), key)
-    if frequencies is None:
-        frequencies = rows.groupBy(key).agg(F.count(F.lit(1)).alias(count))
-    heavy = heavy_keys(frequencies, key, count, heavy_rows, broadcast_rows)
+    if heavy is None:
+        if frequencies is None:
+            frequencies = rows.groupBy(key).agg(F.count(F.lit(1)).alias(count))
+        heavy = heavy_keys(frequencies, key, count, heavy_rows, broadcast_rows)
     if heavy.isEmpty():
         return rows.join(table, key)
     heavy_table = table.join(F.broadcast(heavy), key, "left_semi")

@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """`doc_id, text` over all cores, for the jobs that take texts apart."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 def page_features(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as page features; words that end a sentence stand in for linked hosts."""
-    return table(spark, folder, "documents").select(
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text", "source", "n_chars")
+    return spread(docs, "doc_id").select(
         F.col("doc_id").cast("string").alias("visit_id"),
         F.concat(F.lit("site"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("domain_name"),
         F.col("text").alias("body_text"),

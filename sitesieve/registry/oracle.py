@@ -314,6 +314,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT label, 'val', CAST(n - train AS bigint) FROM r WHERE n > train""",
     "label_index": """SELECT event_type AS label, row_number() OVER (ORDER BY event_type) - 1 label_index
         FROM (SELECT DISTINCT event_type FROM events) t""",
+    "model_info": """SELECT CASE WHEN count(DISTINCT quality) = 2 THEN 'binary' ELSE 'multi' END kind,
+        CAST(count(DISTINCT quality) AS integer) n_labels, count(DISTINCT quality) = 2 has_threshold FROM labels""",
     "explode_requests": _REQUEST_ROWS + "SELECT job_id, pos, visit_id, domain_name, body_text, meta_text, external_hosts FROM good",
     "rejected_requests": """SELECT DISTINCT concat('job', page_id // 25) job_id, 'm1' model,
         CASE WHEN (page_id // 25) % 7 = 3 THEN 'domain_name and meta_text diff length'

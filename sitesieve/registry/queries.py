@@ -14,7 +14,7 @@ from ..operators import scoring, segment, split, tokens, visits
 from ..operators import votes as V
 from ..plans import classifier as C
 from ..plans import datasets, rounds
-from ..session import cut_lineage, shared_folder
+from ..session import cut_lineage, shared_folder, spread
 from ..sources import requests as R
 from ..streaming import requests as stream
 from . import inputs as I
@@ -254,7 +254,7 @@ def model_text(s, d):
 
 def text_chunks(s, d):
     words = F.split("text", " ")
-    parts = I.table(s, d, "documents").select("doc_id", F.posexplode(arrays.chunks(words, 100)).alias("chunk_no", "part"))
+    parts = I.documents(s, d).select("doc_id", F.posexplode(arrays.chunks(words, 100)).alias("chunk_no", "part"))
     return parts.select(
         "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"),
         F.size("part").cast("bigint").alias("n"), F.array_join("part", " ").alias("chunk"),
@@ -265,15 +265,15 @@ VOCABULARY = 20_000
 
 
 def vocabulary(s, d):
-    return tokens.fit_vocabulary(I.table(s, d, "documents"), "text", VOCABULARY).select(
+    return tokens.fit_vocabulary(I.documents(s, d), "text", VOCABULARY).select(
         "token", "n", F.col("token_id").cast("bigint").alias("token_id")
     )
 
 
 def token_windows(s, d):
-    docs = I.table(s, d, "documents")
+    docs = I.documents(s, d)
     encode = tokens.token_encoder(tokens.fit_vocabulary(docs, "text", VOCABULARY))
-    rows = tokens.window_rows(tokens.with_windows(docs.select("doc_id", "text"), encode, "text"))
+    rows = tokens.window_rows(tokens.with_windows(docs, encode, "text"))
     ids, zero = F.col("input_ids"), F.lit(0).cast("bigint")
     weighted = F.transform(ids, lambda t, i: t.cast("bigint") * (i + 1))
     return rows.select(
@@ -286,11 +286,11 @@ def token_windows(s, d):
 
 
 def gram_counts(s, d):
-    return tokens.count_grams(I.table(s, d, "documents"), "text")
+    return tokens.count_grams(I.documents(s, d), "text")
 
 
 def segment_domains(s, d):
-    grams = tokens.count_grams(I.table(s, d, "documents"), "text")
+    grams = tokens.count_grams(I.documents(s, d), "text")
     grams = cut_lineage(grams)
     total = grams.filter(F.instr("gram", " ") == 0).agg(F.sum("n").alias("n")).first()["n"]
     return segment.segment_domains(I.hosts_of_pages(s, d), grams, total)
@@ -300,7 +300,9 @@ def segment_domains(s, d):
 
 
 def _measures(s, d):
-    return I.table(s, d, "lineitem").withColumn("l_discount", F.nullif("l_discount", F.lit(0.0)))
+    columns = ["l_orderkey", "l_partkey", *SCALED_COLUMNS]
+    rows = spread(I.table(s, d, "lineitem").select(*columns), "l_orderkey")
+    return rows.withColumn("l_discount", F.nullif("l_discount", F.lit(0.0)))
 
 
 def numeric_state(s, d):
@@ -321,9 +323,9 @@ def impute_scale(s, d):
 
 
 def tfidf(s, d):
-    pages = I.table(s, d, "documents").select("doc_id", F.col("text").alias("hosts"))
-    counts = hosts.term_counts(pages, "doc_id")
-    idf = hosts.fit_idf(counts, pages.count())
+    pages = I.documents(s, d).select("doc_id", F.col("text").alias("hosts"))
+    counts = cut_lineage(hosts.term_counts(pages, "doc_id"))
+    idf = cut_lineage(hosts.fit_idf(counts, pages.count()))
     return hosts.tfidf(counts, idf, "doc_id").withColumn("w", F.round("w", 6))
 
 
@@ -335,7 +337,7 @@ def host_idf(s, d):
 
 def host_svd(s, d):
     pages = I.linked_suppliers(s, d)
-    counts = hosts.term_counts(pages, "visit_id")
+    counts = cut_lineage(hosts.term_counts(pages, "visit_id"))
     idf = cut_lineage(hosts.fit_idf(counts, pages.count()))
     entries = cut_lineage(hosts.tfidf(counts, idf, "visit_id"))
     space = hosts.fit_svd(entries, "visit_id", idf, k=10, iterations=2)
@@ -359,7 +361,7 @@ def _prepared(s: SparkSession, d: str, visits_of) -> tuple[DataFrame, datasets.P
     """Prepared labelled pages, the fitted preparation, and all unlabelled pages."""
     features = I.page_features(s, d)
     rows = features.join(visits_of(s, d), "visit_id")
-    grams = cut_lineage(tokens.count_grams(I.table(s, d, "documents"), "text"))
+    grams = cut_lineage(tokens.count_grams(I.documents(s, d), "text"))
     total = grams.filter(F.instr("gram", " ") == 0).agg(F.sum("n").alias("n")).first()["n"]
     inputs, preparation = datasets.prepare_training(
         rows, grams, numeric=["nb_letters"], components=10, vocabulary_limit=VOCABULARY,
@@ -380,7 +382,8 @@ def fit_predict(s, d):
 
 def model_info(s, d):
     inputs, preparation, _ = _prepared(s, d, I.visits_quality)
-    return C.model_info(s, C.fit_classifier(inputs, preparation.labels, **_FIT))
+    info = C.model_info(s, C.fit_classifier(inputs, preparation.labels, **_FIT))
+    return info.select("kind", "n_labels", F.col("threshold").between(0.0, 1.0).alias("has_threshold"))
 
 
 def self_distill(s, d):

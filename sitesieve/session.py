@@ -52,6 +52,15 @@ def _cut_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/sitesieve-{spark.sparkContext.applicationId}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` over all cores if its files have fewer splits than there are cores, else unchanged.
+
+    Large inputs have splits enough and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and continue from there.
 
