@@ -36,7 +36,7 @@ def save_bundle(
         classifier.model.write().overwrite().save(f"{path}/model")
         meta["classifier"] = {
             "buckets": classifier.buckets, "seed": classifier.seed,
-            "threshold": classifier.threshold, "history": classifier.history,
+            "extra_width": classifier.extra_width, "threshold": classifier.threshold, "history": classifier.history,
         }
     _write(spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1), f"{path}/meta")
 
