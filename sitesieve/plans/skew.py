@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
 # Most rows of a lookup table that may be copied to every executor.
 BROADCAST_ROWS = 200_000
+# Most bytes of it, before any overhead.
+BROADCAST_BYTES = 256 << 20
 # A key with more rows than this on the large side is joined by broadcast.
 HEAVY_ROWS = 1_000_000
 
 
 def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `table` has at most `rows` rows. Counting a stored table reads no column."""
-    return table.count() <= rows
+    """Whether `table` is within the row limit and the byte limit.
+
+    One aggregate over the table: its rows, and the bytes of its texts; other
+    columns count eight bytes each.
+    """
+    texts = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
+    text_bytes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts]
+    got = table.agg(
+        F.count(F.lit(1)).alias("rows"), sum(text_bytes, F.lit(0).cast("bigint")).alias("bytes")
+    ).first()
+    size = got["bytes"] + 8 * got["rows"] * (len(table.columns) - len(texts))
+    return got["rows"] <= rows and size <= BROADCAST_BYTES
 
 
 def heavy_keys(

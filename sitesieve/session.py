@@ -81,3 +81,9 @@ def release(cut: DataFrame) -> None:
     spark = cut.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(cut.cut_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete all tables this application wrote with `cut_lineage`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_cut_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
