@@ -33,17 +33,22 @@ def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def heavy_keys(
     frequencies: DataFrame, key: str, count: str, heavy_rows: int, most_keys: int
-) -> DataFrame:
-    """Keys with too many rows for one task, at most `most_keys` of them.
+) -> DataFrame | None:
+    """Keys with too many rows for one task, at most `most_keys` of them; None if there are none.
 
     More than `most_keys` keys cannot each hold over 1/most_keys of all rows, so
     raising the limit to that share bounds their number.
     """
-    total = frequencies.agg(F.sum(count).alias("n")).first()["n"] or 0
-    limit = max(heavy_rows, total // most_keys)
+    got = frequencies.agg(F.sum(count).alias("rows"), F.max(count).alias("most")).first()
+    limit = max(heavy_rows, (got["rows"] or 0) // most_keys)
+    if (got["most"] or 0) <= limit:
+        return None
     return cut_lineage(frequencies.filter(F.col(count) > limit).select(key))
 
 
+SEARCH = object()
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -52,24 +57,24 @@ def lookup_join(
     count: str = "n",
     broadcast_rows: int = BROADCAST_ROWS,
     heavy_rows: int = HEAVY_ROWS,
-    heavy: DataFrame | None = None,
+    heavy=SEARCH,
 ) -> DataFrame:
     """Inner join of `rows` with `table` (unique `key`), safe against hot keys.
 
-    A table within the row limit is broadcast. A larger one is split by how
-    often its keys occur in `rows`: the few heavy keys are broadcast, so their
-    rows stay where they are, and only the light rest is shuffled. Every row is
-    in exactly one of the two parts. `frequencies` (key, count) saves a
-    counting pass where the caller knows them, and `heavy` the search for heavy
-    keys where several joins share them.
+    A table within the broadcast limits is broadcast. A larger one is split by
+    how often its keys occur in `rows`: the few heavy keys are broadcast, so
+    their rows stay where they are, and only the light rest is shuffled. Every
+    row is in exactly one of the two parts. `frequencies` (key, count) saves a
+    counting pass where the caller knows them, and `heavy` (the result of
+    `heavy_keys`) the search where several joins share it.
     """
     if fits_broadcast(table, broadcast_rows):
         return rows.join(F.broadcast(table), key)
-    if heavy is None:
+    if heavy is SEARCH:
         if frequencies is None:
             frequencies = rows.groupBy(key).agg(F.count(F.lit(1)).alias(count))
         heavy = heavy_keys(frequencies, key, count, heavy_rows, broadcast_rows)
-    if heavy.isEmpty():
+    if heavy is None:
         return rows.join(table, key)
     heavy_table = table.join(F.broadcast(heavy), key, "left_semi")
     hot = rows.join(F.broadcast(heavy_table), key)
