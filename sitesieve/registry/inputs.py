@@ -103,22 +103,31 @@ def hosts_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def linked_suppliers(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as pages that link to the hosts of their suppliers, as host text.
-
-    Built like a link table would be: combined per (order, host) first.
-    """
-    host = F.concat(F.lit("Supplier"), F.col("l_suppkey").cast("string"), F.lit(".example"))
-    links = (
-        table(spark, folder, "lineitem")
-        .select(F.col("l_orderkey").cast("string").alias("visit_id"), host.alias("host"))
-        .groupBy("visit_id", "host").agg(F.count(F.lit(1)).alias("n"))
+def linked_suppliers(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """Orders as pages that link to the hosts of their suppliers: (`visit_id, term, tf`, number of pages)."""
+    lines = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey")
+    host = F.concat(F.lit("supplier"), F.col("l_suppkey").cast("string"), F.lit(".example"))
+    counts = lines.groupBy(F.col("l_orderkey").alias("visit_id"), host.alias("term")).agg(
+        F.count(F.lit(1)).alias("tf")
+    )
+    return counts, lines.select("l_orderkey").distinct().count()
+
+
+def vote_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Three votes per labelled document, stored as a list."""
+    good = lambda c: F.when(c, "Good").otherwise("Poor")
+    third = F.when(F.col("doc_id") % 3 == 0, "Skip").otherwise(good(F.col("doc_id") % 5 > 0))
+    return table(spark, folder, "labels").select(
+        F.col("doc_id").cast("string").alias("visit_id"),
+        F.array(good(F.col("quality") == 1), good(F.col("toxic") == 0), third).alias("labels"),
+    )
+
+
+def list_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("doc_id") % 4 == 0, "Poor").when(F.col("doc_id") % 4 == 1, "Skip").otherwise("Good")
+    return table(spark, folder, "labels").select(
+        F.col("doc_id").cast("string").alias("visit_id"), label.alias("predicted_label")
     )
-    text = F.array_join(F.flatten(F.transform(
-        F.array_sort(F.collect_list(F.struct("host", "n"))),
-        lambda p: F.array_repeat(p["host"], p["n"].cast("int")),
-    )), " ")
-    return links.groupBy("visit_id").agg(text.alias("hosts"))
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:

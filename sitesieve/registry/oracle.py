@@ -80,6 +80,16 @@ _MULTI = (
 )
 
 
+# the same views over the stored three-vote lists
+_LISTED = """WITH votes AS (SELECT cast(doc_id AS varchar) visit_id, unnest([1, 2, 3]) vote_ord, unnest([
+    CASE WHEN quality = 1 THEN 'Good' ELSE 'Poor' END, CASE WHEN toxic = 0 THEN 'Good' ELSE 'Poor' END,
+    CASE WHEN doc_id % 3 = 0 THEN 'Skip' WHEN doc_id % 5 > 0 THEN 'Good' ELSE 'Poor' END]) label FROM labels),
+  pred1 AS (SELECT cast(doc_id AS varchar) visit_id, CASE WHEN doc_id % 4 = 0 THEN 'Poor'
+    WHEN doc_id % 4 = 1 THEN 'Skip' ELSE 'Good' END predicted_label FROM labels), """ + ", ".join(
+    f"{v} AS ({_VIEWS[v]})" for v in ("tallied", "ranked", "judged")
+)
+
+
 def _binary(scores: str, value: str) -> str:
     parts = []
     for population, member in (("all", "true"), ("unanimous", "unanimous"), ("controversial", "NOT unanimous")):
@@ -180,8 +190,8 @@ ORACLE: dict[str, str] = {
         SELECT f.* FROM html_features f WHERE visit_id IN (SELECT visit_id FROM visits_quality)
         OR visit_id IN (SELECT visit_id FROM visits_toxic WHERE label <> 'Clean')""",
     "normalise_columns": _with("SELECT * FROM html_features", "html_features"),
-    "drop_ignored_lists": _with("""SELECT visit_id, string_agg(label, '|' ORDER BY vote_ord) labels
-        FROM votes WHERE label NOT IN ('view', 'click') GROUP BY 1""", "votes"),
+    "drop_ignored_lists": _LISTED + """ SELECT visit_id, string_agg(label, '|' ORDER BY vote_ord) labels
+        FROM votes WHERE label NOT IN ('Skip', 'Poor') GROUP BY 1""",
     "absorb_labels": _LABELLED + """
         SELECT 'labelled' part, label, count(*) n FROM (SELECT label FROM visits_quality
         UNION ALL SELECT label FROM visits_toxic) t GROUP BY label
@@ -189,14 +199,15 @@ ORACLE: dict[str, str] = {
         WHERE visit_id NOT IN (SELECT visit_id FROM visits_toxic)""",
     "votes_majority": _with("""SELECT visit_id, CAST(n_votes AS bigint) n_votes, n_labels, top_votes, top_label,
         has_majority, unanimous FROM judged""", *_JUDGED),
-    "list_majority": _with("""SELECT visit_id, CAST(n_votes AS bigint) n_votes, n_labels, top_votes, top_label,
-        has_majority, unanimous FROM judged""", *_JUDGED),
+    "list_majority": _LISTED + """ SELECT visit_id, CAST(n_votes AS bigint) n_votes, n_labels, top_votes, top_label,
+        has_majority, unanimous FROM judged""",
     "encode_binary_votes": _with("""SELECT visit_id, count(*) n_votes, CAST(sum(y) AS bigint) n_positive,
         (sum(y) = 0 OR sum(y) = count(*)) unanimous, 2*sum(y) <> count(*) has_majority, 2*sum(y) > count(*) positive
         FROM (SELECT visit_id, CASE WHEN label = 'Poor' THEN 1 ELSE 0 END y FROM visits_quality) t GROUP BY 1""",
         "visits_quality"),
     "multiclass_metrics": _MULTI,
-    "multiclass_metrics_lists": _MULTI,
+    "multiclass_metrics_lists": _LISTED + f""", {_UNIVERSE1}
+        SELECT population, metric, label, round(value, 6) AS value FROM {_multiclass('pred1', 'value')} m""",
     "inclusion_rate": _with("""SELECT round(avg(hit), 6) included_all,
         round(avg(hit) FILTER (WHERE n_labels > 1), 6) included_controversial FROM (
         SELECT v.visit_id, count(DISTINCT v.label) n_labels,

@@ -67,7 +67,7 @@ def normalise_columns(s, d):
 
 
 def drop_ignored_lists(s, d):
-    lists = V.drop_ignored_from_lists(V.fold_votes(I.votes(s, d)), ["view", "click"])
+    lists = V.drop_ignored_from_lists(I.vote_lists(s, d), ["Skip", "Poor"])
     return lists.select("visit_id", F.array_join("labels", "|").alias("labels"))
 
 
@@ -91,7 +91,7 @@ def votes_majority(s, d):
 
 
 def list_majority(s, d):
-    return V.summarise_pages(V.fold_votes(I.votes(s, d))).select(*_PAGE)
+    return V.summarise_pages(I.vote_lists(s, d)).select(*_PAGE)
 
 
 def encode_binary_votes(s, d):
@@ -109,8 +109,7 @@ def multiclass_metrics(s, d):
 
 
 def multiclass_metrics_lists(s, d):
-    first, _, _ = I.model_predictions(s, d)
-    return _metrics(multiclass.evaluate_multiclass(V.fold_votes(I.votes(s, d)), first), "value")
+    return _metrics(multiclass.evaluate_multiclass(I.vote_lists(s, d), I.list_predictions(s, d)), "value")
 
 
 def inclusion_rate(s, d):
@@ -330,15 +329,14 @@ def tfidf(s, d):
 
 
 def host_idf(s, d):
-    pages = I.linked_suppliers(s, d)
-    idf = hosts.fit_idf(hosts.term_counts(pages, "visit_id"), pages.count())
-    return idf.withColumn("idf", F.round("idf", 6))
+    counts, n_pages = I.linked_suppliers(s, d)
+    return hosts.fit_idf(counts, n_pages).withColumn("idf", F.round("idf", 6))
 
 
 def host_svd(s, d):
-    pages = I.linked_suppliers(s, d)
-    counts = cut_lineage(hosts.term_counts(pages, "visit_id"))
-    idf = cut_lineage(hosts.fit_idf(counts, pages.count()))
+    counts, n_pages = I.linked_suppliers(s, d)
+    counts = cut_lineage(counts)
+    idf = cut_lineage(hosts.fit_idf(counts, n_pages))
     entries = cut_lineage(hosts.tfidf(counts, idf, "visit_id"))
     space = hosts.fit_svd(entries, "visit_id", idf, k=10, iterations=2)
     return hosts.project(entries, space.vectors, "visit_id", idf.select("term", F.col("df").alias("n")))
