@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .base import table
+from .base import held_out, table
+from .dartminhash import near_duplicates
 from .decontaminate import contamination
+from .htmltext import extract_pages
 from .pieces import decode_ids, encode_documents, ids_checksum
+from .projections import near_vectors
+from .quality import fit_quality, score_quality
 from .secrets import BlobLedger, scan_documents
+from .toxicity import fit_toxicity, score_toxicity
+from .warc import read_archives, write_archives
+
 
 def model_path(name: str) -> str:
     """A vocabulary file of the installed public tokenizers."""
@@ -31,14 +38,57 @@ def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_projections(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"), cosine=0.95)
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return scan_documents(table(spark, folder, "documents").select("doc_id", "text"), BlobLedger(spark))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
+    return score_quality(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return contamination(docs.select("doc_id", "text"), items.select("item_id", "text")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op3_secrets, op5_decontaminate)}
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    got = extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op8_dartminhash(spark: SparkSession, folder: str) -> DataFrame:
+    got = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "class_id", "kept", "n_texts")
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    got = read_archives(write_archives(table(spark, folder, "pages").select("page_id", "url", "html")))
+    return got.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_pieces, op2_projections, op3_secrets, op4_quality, op5_decontaminate, op6_html, op8_dartminhash,
+        op9_toxicity, op10_warc,
+    )
+}
 ORACLE = {"op5_decontaminate": sql.DECONTAMINATE}
