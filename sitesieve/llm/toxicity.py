@@ -1,10 +1,11 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on toxic text, one on ordinary text.
 
-A text is cut at white space into windows of about a hundred bytes. Each window is compressed with either
-dictionary; how many bytes the toxic one saves over the ordinary one is the window's distance. Windows of
-toxic documents are mostly ordinary, so the toxic dictionary is trained again on the windows that the
-first one set apart. The largest distances of a document, and the share of windows above thresholds set on
-ordinary documents, are calibrated to a probability on labelled rows that no dictionary was trained on.
+A text is cut at white space into windows of a few words. Each window is compressed with either dictionary;
+how many bytes the toxic one saves over the ordinary one is the window's distance. Toxic documents are mostly
+ordinary text, so two dictionaries trained on all of it would differ by chance more than by kind: each
+dictionary holds what was trained on the words that only its kind uses, and what was trained on ordinary
+text, at the same places. A document's largest distances, their means, and the shares of windows above thresholds
+set on ordinary documents are calibrated to a probability on labelled rows no dictionary was trained on.
 
 Rules for odd rows: null and empty texts have no windows and get the score of a document without any
 distance; ids may be null or repeated (each row is scored); other columns are not looked at. Without
@@ -13,6 +14,9 @@ labelled rows of both kinds every score is the share of toxic rows (0 without la
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,10 +27,12 @@ from .base import bounded_sample, checked_broadcast
 # Labelled documents that a model is fitted on at most, of either kind, and the longest of them in bytes.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 32_768
-WINDOW = 96
-DICTIONARY = 16_384
-LEVEL = 3
-ROUNDS = 3
+WINDOW = 40
+# Bytes of the part that both dictionaries share, and of the part of their own.
+SHARED, OWN = 16_384, 6144
+# Share of the documents of a kind that must have a word before it counts as that kind's, and their least number.
+LEAST_SHARE, LEAST_DOCUMENTS = 0.01, 4
+LEVEL = 12
 TOP = 5
 
 
@@ -47,11 +53,14 @@ def windows_of(text: str | None) -> list[bytes]:
 class Compressors:
     """The two dictionaries, ready to compress."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    def __init__(self, shared: bytes, toxic: bytes, ordinary: bytes):
         import zstandard
 
+        size = max(len(toxic), len(ordinary))
         self.two = []
-        for content in (toxic, ordinary):
+        for own in (toxic, ordinary):
+            # the own part stands inside the content, behind the tables at the start
+            content = shared[: -len(shared) // 2] + own.rjust(size, b"\0") + shared[-len(shared) // 2 :]
             dictionary = zstandard.ZstdCompressionDict(content)
             dictionary.precompute_compress(level=LEVEL)
             self.two.append(zstandard.ZstdCompressor(
@@ -64,25 +73,52 @@ class Compressors:
 
 
 def features_of(distances: np.ndarray, thresholds) -> list[float]:
-    """The TOP largest distances, their mean, and how many windows exceed each threshold."""
+    """The TOP largest distances, means, and number and share of the windows that reach each threshold."""
     top = np.zeros(TOP)
-    if len(distances):
-        largest = np.sort(distances)[::-1][:TOP]
-        top[: len(largest)] = np.maximum(largest, 0)
-    above = [np.log1p((distances >= t).sum()) for t in thresholds]
-    share = [float((distances >= t).mean()) if len(distances) else 0.0 for t in thresholds]
-    return [*top, float(distances.mean()) if len(distances) else 0.0, *above, *share, np.log1p(len(distances))]
+    if not len(distances):
+        distances = np.zeros(1)
+    largest = np.sort(distances)[::-1][:TOP]
+    top[: len(largest)] = np.maximum(largest, 0)
+    above = [(distances >= t).mean() for t in thresholds]
+    counts = [np.log1p((distances >= t).sum()) for t in thresholds]
+    means = [distances.mean(), np.maximum(distances, 0).mean(), np.maximum(-distances, 0).mean()]
+    return [float(v) for v in (*top, *means, *above, *counts, np.log1p(len(distances)))]
 
 
-def _train(windows: list[bytes]) -> bytes:
+def _train(samples: list[bytes], size: int) -> bytes:
     import zstandard
 
-    size = min(DICTIONARY, max(1024, sum(map(len, windows)) // 4))
+    held = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(size, windows, k=32, d=6, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        # too little to train on: the text itself serves as the dictionary
-        return b"".join(windows)[-size:] or b"\0" * 8
+        return zstandard.train_dictionary(min(size, max(512, held // 2)), samples, k=32, d=6, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        # too little to train on: the samples themselves serve as the dictionary
+        return b"".join(samples)[-size:] or b"\0" * 8
+
+
+def own_words(mine: list[list[bytes]], others: list[list[bytes]]) -> list[bytes]:
+    """Of each document, as a sample to train on, the words that several of `mine` use and none of `others`."""
+    bare = lambda w: w.strip(b".,;:!?")
+    usual = {bare(w) for windows in others for x in windows for w in x.split()}
+    used = Counter(w for windows in mine for w in {bare(w) for x in windows for w in x.split()} - usual)
+    # chance words are in few documents
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * len(mine))
+    kept = {w for w, n in used.items() if n >= least}
+    samples = (b" ".join(bare(w) for x in windows for w in x.split() if bare(w) in kept) for windows in mine)
+    return [b" " + x + b" " for x in samples if x]
+
+
+def without_copies(texts: list[str]) -> list[int]:
+    """Places of the texts that are no near copies of earlier ones: groups of copies would pass for a kind's language."""
+    seen: set[int] = set()
+    kept = []
+    for k, text in enumerate(texts):
+        words = text.split()
+        runs = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(len(words) - 2, 1))}
+        if len(runs & seen) <= len(runs) // 2:
+            kept.append(k)
+        seen |= runs
+    return kept
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -108,28 +144,23 @@ class ToxicityModel:
     def __init__(self, texts: list[str], toxic: list[int], share: float):
         """`share` of all labelled rows is toxic; the texts are balanced and get weights to match."""
         self.share, self.weights = share, None
-        y = np.array(toxic)
+        single = without_copies(texts)
+        texts, y = [texts[k] for k in single], np.array([toxic[k] for k in single])
         if not len(y) or y.min() == y.max():
             return
         windows = [windows_of(t) for t in texts]
         part = np.arange(len(y)) % 2 == 0
-        pick = lambda kind: [w for k in np.flatnonzero(part & (y == kind)) for w in windows[k] if w]
-        ordinary, toxic_windows = pick(0), pick(1)
-        if not ordinary or not toxic_windows:
+        kinds = [[windows[k] for k in np.flatnonzero(part & (y == kind))] for kind in (0, 1)]
+        pieces = [[w for d in documents for w in d] for documents in kinds]
+        if not pieces[0] or not pieces[1]:
             return
-        chosen = toxic_windows
-        self.dictionaries = (_train(chosen), _train(ordinary))
-        for _ in range(ROUNDS):
-            machine = Compressors(*self.dictionaries)
-            far = machine.distances(toxic_windows)
-            limit = np.quantile(machine.distances(ordinary), 0.99)
-            chosen = [w for w, d in zip(toxic_windows, far) if d > limit]
-            if len(chosen) < 8:
-                break
-            self.dictionaries = (_train(chosen), self.dictionaries[1])
+        self.dictionaries = (
+            _train(pieces[0], SHARED), _train(own_words(kinds[1], kinds[0]) or pieces[1], OWN),
+            _train(own_words(kinds[0], kinds[1]) or pieces[0], OWN),
+        )
         machine = Compressors(*self.dictionaries)
-        usual = np.concatenate([machine.distances(windows[k]) for k in np.flatnonzero(~part & (y == 0)) if windows[k]] or [np.zeros(1)])
-        self.thresholds = [float(np.quantile(usual, q)) for q in (0.9, 0.99, 0.999)]
+        usual = np.concatenate([machine.distances(windows[k]) for k in np.flatnonzero(~part & (y == 0))] or [np.zeros(1)])
+        self.thresholds = sorted({*(float(np.quantile(usual, q)) for q in (0.9, 0.99, 0.999)), 2.0, 4.0}) if len(usual) else [2.0, 4.0]
         x = np.array([features_of(machine.distances(windows[k]), self.thresholds) for k in np.flatnonzero(~part)])
         target = y[~part]
         if target.min() == target.max():
