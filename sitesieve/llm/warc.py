@@ -173,9 +173,11 @@ def train_dictionary(pages: DataFrame) -> bytes:
     """From at most SAMPLE_ROWS pages of SAMPLE_BYTES at most."""
     import zstandard
 
-    few = pages.filter((F.octet_length("html") <= SAMPLE_BYTES) & (F.octet_length("html") > 0)).select("html", "page_id")
-    # the order is that of a hash of the id: no text is sorted
-    rows = [r["html"].encode("utf-8", "replace") for r in bounded_sample(few, F.col("page_id"), SAMPLE_ROWS).collect()]
+    fitting = (F.octet_length("html") <= SAMPLE_BYTES) & (F.octet_length("html") > 0)
+    # drawn by the hash of the id before any text moves
+    drawn = bounded_sample(pages.filter(fitting).select("page_id").distinct(), F.col("page_id"), SAMPLE_ROWS)
+    texts = pages.filter(fitting).select("page_id", "html").join(F.broadcast(drawn), "page_id").limit(SAMPLE_ROWS)
+    rows = sorted(r["html"].encode("utf-8", "replace") for r in texts.collect())
     size = min(DICTIONARY_BYTES, max(1024, sum(map(len, rows)) // 8))
     try:
         return zstandard.train_dictionary(size, rows, k=64, d=8, level=LEVEL).as_bytes()
