@@ -24,7 +24,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -153,9 +153,13 @@ def _verify(width: int, least: float):
     return run
 
 
+def content_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def contents_of(documents: DataFrame, id_column: str, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(id, content) of every row, and per distinct text its number, first id, size and bands."""
-    keyed = documents.select(F.col(id_column).alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("content"), "text")
+    keyed = documents.select(F.col(id_column).alias("id"), content_of(F.col("text")).alias("content"), "text")
     sketched = cut_lineage(
         keyed.mapInArrow(_sketch(width, bands, rows), f"id {keyed.schema['id'].dataType.simpleString()}, content binary, total bigint, bands array<bigint>")
     )
@@ -179,7 +183,7 @@ def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, wid
     open_members = cut_lineage(buckets_of(numbered))
     wanted = open_members.select("v").distinct().join(numbered.select("v", "first_id", "content", "total"), "v")
     wanted = cut_lineage(wanted)
-    keyed = documents.select(F.col(id_column).alias("first_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("content"), "text")
+    keyed = documents.select(F.col(id_column).alias("first_id"), content_of(F.col("text")).alias("content"), "text")
     slim = wanted.select("first_id", "content", "v")
     # one row of each wanted text; spread by id and text, so very many copies are no hot key
     texts = join_rows(keyed, checked_broadcast(slim), "inner", ("first_id", "content"))
@@ -229,7 +233,7 @@ def near_duplicates(
     """(id, content, class_id, kept, n_texts) per row of `documents` (`id_column`, `text`).
 
     `class_id` is the smallest id of the texts connected by similarities of `least` or more, and `kept`
-    marks its rows; `n_texts` counts the distinct texts of the class.
+    marks the rows with this id and its text; `n_texts` counts the distinct texts of the class.
     """
     rows_of, numbered = contents_of(documents, id_column, width, bands, rows)
     edges = similar_edges(documents, id_column, numbered, width, least)
@@ -238,14 +242,35 @@ def near_duplicates(
         named = named.withColumn("label", F.col("v"))
     else:
         named = named.join(components(edges), "v", "left").withColumn("label", F.coalesce("component", "v"))
-    classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
-    known = named.select("content", "label").join(classes, "label").select("content", "class_id", "n_texts", "label")
+    first = F.struct(F.col("first_id").isNull(), "first_id", "content")
+    classes = named.groupBy("label").agg(
+        F.min("first_id").alias("class_id"), F.min_by("content", first).alias("lead"), F.count(F.lit(1)).alias("n_texts")
+    )
+    known = named.select("content", "label").join(classes, "label").select(
+        "content", "class_id", "n_texts", (F.col("content") == F.col("lead")).alias("leads")
+    )
     joined = rows_of.join(known, "content")
     # an empty text is no copy of another empty text
     empty = F.col("content") == F.unhex(F.md5(F.lit("")))
     class_id = F.when(empty, F.col("id")).otherwise(F.col("class_id"))
     return joined.select(
         F.col("id").alias(id_column), class_id.alias("class_id"),
-        (empty | F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        (empty | F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"),
         F.when(empty, F.lit(1).cast("bigint")).otherwise(F.col("n_texts")).alias("n_texts"), "content",
     )
+
+
+def one_of_each(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One row of every class of near duplicates, with all its columns."""
+    judged = cut_lineage(near_duplicates(documents, id_column).select(id_column, F.col("content").alias("_content"), "kept"))
+    key = (id_column, "_content")
+    gone = cut_lineage(judged.filter("not kept").select(*key).distinct())
+    # rows that repeat both id and text are all marked as kept
+    empty = content_of(F.lit(""))
+    twice = judged.filter(F.col("kept") & (F.col("_content") != empty)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    twice = cut_lineage(twice.filter("n > 1").select(*key))
+    rows = documents.withColumn("_content", content_of(F.col("text")))
+    rows = join_rows(rows, checked_broadcast(gone), "left_anti", key)
+    single = join_rows(rows, checked_broadcast(twice), "left_anti", key)
+    repeated = join_rows(rows, checked_broadcast(twice), "left_semi", key).dropDuplicates(list(key))
+    return single.unionByName(repeated).select(*documents.columns)

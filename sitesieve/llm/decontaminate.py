@@ -155,3 +155,11 @@ def contamination(documents: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def without_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `documents` that are not contaminated."""
+    hits = cut_lineage(contamination(documents, items).filter("contaminated").select("doc_id", "text_key").distinct())
+    keyed = documents.withColumn("_key", text_key(F.col("text")))
+    left = join_rows(keyed, checked_broadcast(hits.withColumnRenamed("text_key", "_key")), "left_anti", ("doc_id", "_key"))
+    return left.select(*documents.columns)

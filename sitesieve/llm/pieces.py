@@ -18,12 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 PARTS = re.compile(r"\n| *[^ \n]+| +")
 # Distinct parts a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Pieces:
@@ -121,45 +121,22 @@ def pieces_of(model_file: str) -> Pieces:
     return Pieces(model_file)
 
 
-def encode_documents(documents: DataFrame, model_file: str, keep=("doc_id",), text: str = "text", ids: str = "ids") -> DataFrame:
-    """`keep` columns and the ids of `text`, one row per row of `documents`."""
-    def run(batches):
-        pieces = pieces_of(model_file)
-        for batch in batches:
-            coded = [pieces.encode_bytes(t) for t in batch.column(len(keep)).to_pylist()]
-            ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype("i4")
-            flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-            column = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column], [*keep, ids])
-
-    schema = documents.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType()))
-    return documents.select(*keep, text).mapInArrow(run, schema)
-
+def recode(text: Column, model_file: str) -> Column:
+    """A struct of the ids of a text, their CRC-32 (as little-endian 32-bit integers), and the text they decode to.
 
-def decode_ids(encoded: DataFrame, model_file: str, keep=("doc_id",), ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """`keep` columns, the ids, and the text they stand for."""
-    def run(batches):
+    Both directions run in one pass: ids go from one to the other as bytes and are never Python numbers
+    of more than one text.
+    """
+    @F.arrow_udf("ids array<int>, ids_crc32 bigint, decoded string")
+    def both(texts: pa.Array) -> pa.Array:
         pieces = pieces_of(model_file)
-        for batch in batches:
-            column = batch.column(len(keep))
-            ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            texts = [pieces.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], column, pa.array(texts, pa.string())], [*keep, ids, text]
-            )
-
-    schema = encoded.select(*keep, ids).schema.add(text, "string")
-    return encoded.select(*keep, ids).mapInArrow(run, schema)
-
-
-def ids_checksum(encoded: DataFrame, column: str = "ids") -> DataFrame:
-    """Adds `ids_crc32`, the checksum of the ids as little-endian 32-bit integers."""
-    def run(batches):
-        for batch in batches:
-            got = batch.column(batch.schema.get_field_index(column))
-            ends, flat = got.offsets.to_numpy(), np.ascontiguousarray(got.values.to_numpy(zero_copy_only=False), "<i4")
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], [*batch.schema.names, "ids_crc32"])
-
-    schema = encoded.select("*").schema.add("ids_crc32", "long")
-    return encoded.mapInArrow(run, schema)
+        coded, back = [], []
+        for t in texts:
+            coded.append(pieces.encode_bytes(t.as_py()))
+            back.append(pieces.decode(np.frombuffer(coded[-1], "<i4").tolist()))
+        sums = pa.array([zlib.crc32(c) for c in coded], pa.int64())
+        ends = pa.array(np.cumsum([0] + [len(c) // 4 for c in coded]).astype("i4"))
+        ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(coded), "<i4")))
+        return pa.StructArray.from_arrays([ids, sums, pa.array(back, pa.string())], ["ids", "ids_crc32", "decoded"])
+
+    return both(text)

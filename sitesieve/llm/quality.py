@@ -232,11 +232,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, usable: Column | None =
     return QualityModel(x, np.array([r["y"] for r in rows]))
 
 
-def score_quality(documents: DataFrame, model: QualityModel, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """`keep` columns and `score`, one row per row; the whole text counts."""
-    def run(batches):
-        for batch in batches:
-            score = pa.array(model.score(_features(batch.column(len(keep)).to_pylist())), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], score], [*keep, "score"])
+def quality(text: Column, model: QualityModel) -> Column:
+    """The score of a text; the whole text counts."""
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(_features(texts.to_pylist())), pa.float64())
 
-    return documents.select(*keep, text).mapInArrow(run, documents.select(*keep).schema.add("score", "double"))
+    return score(text)

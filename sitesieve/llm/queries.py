@@ -10,11 +10,12 @@ from .base import held_out, table
 from .dartminhash import near_duplicates
 from .decontaminate import contamination
 from .htmltext import extract_pages
-from .pieces import decode_ids, encode_documents, ids_checksum
+from .pieces import recode
 from .projections import near_vectors
-from .quality import fit_quality, score_quality
+from .quality import fit_quality, quality
 from .secrets import BlobLedger, scan_documents
-from .toxicity import fit_toxicity, score_toxicity
+from .tokenids import read_token_files, write_token_files
+from .toxicity import fit_toxicity, toxicity
 from .warc import read_archives, write_archives
 
 
@@ -28,13 +29,10 @@ def model_path(name: str) -> str:
 def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, their checksum, and whether decoding gives the text back."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    model = model_path("piece_bpe_32k.model")
-    text = F.coalesce("text", F.lit(""))
-    coded = encode_documents(docs.withColumn("sha", F.sha2(text, 256)), model, keep=("doc_id", "sha"))
-    back = ids_checksum(decode_ids(coded, model, keep=("doc_id", "sha")))
-    return back.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
-        (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"),
+    both = docs.select("doc_id", "text", recode(F.col("text"), model_path("piece_bpe_32k.model")).alias("r"))
+    return both.select(
+        "doc_id", "r.ids", F.size("r.ids").cast("long").alias("n_ids"), "r.ids_crc32",
+        (F.col("r.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
 
 
@@ -49,7 +47,7 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
-    return score_quality(docs, model).select(
+    return docs.select("doc_id", quality(F.col("text"), model).alias("score")).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
@@ -64,6 +62,11 @@ def op6_html(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op7_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return read_token_files(write_token_files(docs, model_path("word_bpe_49k.json"), end_id=1))
+
+
 def op8_dartminhash(spark: SparkSession, folder: str) -> DataFrame:
     got = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return got.select("doc_id", "class_id", "kept", "n_texts")
@@ -72,7 +75,7 @@ def op8_dartminhash(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
-    return score_toxicity(docs, model).select(
+    return docs.select("doc_id", toxicity(F.col("text"), model).alias("score")).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
@@ -87,8 +90,8 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_pieces, op2_projections, op3_secrets, op4_quality, op5_decontaminate, op6_html, op8_dartminhash,
-        op9_toxicity, op10_warc,
+        op1_pieces, op2_projections, op3_secrets, op4_quality, op5_decontaminate, op6_html, op7_token_ids,
+        op8_dartminhash, op9_toxicity, op10_warc,
     )
 }
 ORACLE = {"op5_decontaminate": sql.DECONTAMINATE}

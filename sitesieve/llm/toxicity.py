@@ -202,11 +202,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, usable: Column | None
     return ToxicityModel([r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else 0.0)
 
 
-def score_toxicity(documents: DataFrame, model: ToxicityModel, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """`keep` columns and `score`, one row per row; the whole text counts."""
-    def run(batches):
-        for batch in batches:
-            score = pa.array(model.score(batch.column(len(keep)).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], score], [*keep, "score"])
-
-    return documents.select(*keep, text).mapInArrow(run, documents.select(*keep).schema.add("score", "double"))
+def toxicity(text: Column, model: ToxicityModel) -> Column:
+    """The score of a text; the whole text counts."""
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(texts.to_pylist()), pa.float64())
+
+    return score(text)
