@@ -32,8 +32,17 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.withColumn("_order", F.xxhash64(key)).orderBy("_order").limit(rows).drop("_order")
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_rows(left: DataFrame, right: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("doc_id", "text_key")) -> DataFrame:
     """Join on keys of which any may be null; a null equals a null. Columns of the left come first."""
-    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+    names = {k: spare(f"right_{k}", left, right) for k in keys}
+    renamed = right.withColumnsRenamed(names)
+    on = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+    return left.join(renamed, on, how).drop(*names.values())

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import checked_broadcast, join_rows
+from .base import checked_broadcast, join_rows, spare
 from .components import components
 from .shingles import U, chunks, mix, shingle_sets
 
@@ -262,14 +262,16 @@ def near_duplicates(
 
 def one_of_each(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row of every class of near duplicates, with all its columns."""
-    judged = cut_lineage(near_duplicates(documents, id_column).select(id_column, F.col("content").alias("_content"), "kept"))
-    key = (id_column, "_content")
+    content = spare("content", documents)
+    judged = near_duplicates(documents, id_column).select(id_column, F.col("content").alias(content), "kept")
+    judged = cut_lineage(judged)
+    key = (id_column, content)
     gone = cut_lineage(judged.filter("not kept").select(*key).distinct())
     # rows that repeat both id and text are all marked as kept
     empty = content_of(F.lit(""))
-    twice = judged.filter(F.col("kept") & (F.col("_content") != empty)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    twice = judged.filter(F.col("kept") & (F.col(content) != empty)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     twice = cut_lineage(twice.filter("n > 1").select(*key))
-    rows = documents.withColumn("_content", content_of(F.col("text")))
+    rows = documents.withColumn(content, content_of(F.col("text")))
     rows = join_rows(rows, checked_broadcast(gone), "left_anti", key)
     single = join_rows(rows, checked_broadcast(twice), "left_anti", key)
     repeated = join_rows(rows, checked_broadcast(twice), "left_semi", key).dropDuplicates(list(key))

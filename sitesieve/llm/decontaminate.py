@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import cut_lineage
-from .base import checked_broadcast, join_rows, text_key
+from .base import checked_broadcast, join_rows, spare, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -160,6 +160,7 @@ def contamination(documents: DataFrame, items: DataFrame) -> DataFrame:
 def without_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `documents` that are not contaminated."""
     hits = cut_lineage(contamination(documents, items).filter("contaminated").select("doc_id", "text_key").distinct())
-    keyed = documents.withColumn("_key", text_key(F.col("text")))
-    left = join_rows(keyed, checked_broadcast(hits.withColumnRenamed("text_key", "_key")), "left_anti", ("doc_id", "_key"))
-    return left.select(*documents.columns)
+    key = spare("text_key", documents)
+    keyed = documents.withColumn(key, text_key(F.col("text")))
+    hits = checked_broadcast(hits.withColumnRenamed("text_key", key))
+    return join_rows(keyed, hits, "left_anti", ("doc_id", key)).select(*documents.columns)

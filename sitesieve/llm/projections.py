@@ -10,8 +10,8 @@ widest difference a similar pair can have are brought together. Inside such a pa
 are counted in tiles, so no pair of vectors is ever a row; what leaves is per vector the number of its links
 and edges that connect what is linked. Equal vectors are collapsed first and counted by their number.
 
-Rules for odd rows: vectors that are null, zero, of another length than most, or hold null or non-finite
-components link with nothing; ids may be null or repeated, every row counts; other columns are ignored.
+Rules for odd rows: vectors that are null, empty, zero, or hold null or non-finite components link
+with nothing, and vectors of different lengths do not link; ids may be null or repeated, every row counts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,12 +64,6 @@ def _first_window(cosine: float) -> float:
     return 5 * spread_of(cosine)
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal-length float vectors from a binary column, and their norms."""
-    x = np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
-    return x, np.linalg.norm(x, axis=1)
-
-
 def _pack(batches):
     """Usable vectors as bytes; of the others nothing but a mark."""
     for batch in batches:
@@ -83,10 +77,14 @@ def _pack(batches):
 
 def _first_projection(batches):
     for batch in batches:
-        if batch.num_rows:
-            x, norms = _matrix(batch.column(1))
-            along = (x / norms[:, None]) @ directions(x.shape[1], 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along)], [*batch.schema.names, "along"])
+        packed = batch.column(1).to_pylist()
+        sizes = np.array([len(v) for v in packed], np.int64)
+        along = np.zeros(len(packed))
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            x = np.frombuffer(b"".join(packed[k] for k in rows), "<f8").reshape(len(rows), -1)
+            along[rows] = (x / np.linalg.norm(x, axis=1)[:, None]) @ directions(x.shape[1], 1)[:, 0]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along)], [*batch.schema.names, "along"])
 
 
 def _blocks(size: int):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .base import checked_broadcast, join_rows
+from .base import checked_broadcast, join_rows, spare
 
 # Kinds in order, each with its pattern and the shortest length of the group that counts.
 BASE_RULES = (
@@ -163,11 +163,12 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact_documents(documents: DataFrame, ledger: BlobLedger) -> DataFrame:
     """`documents` with every secret in `text` replaced; `n_chars`, where there is one, follows the new text."""
     ledger.scan(documents, "doc_id")
-    hits = ledger.entries().filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    met = documents.join(checked_broadcast(hits), blob_id(F.col("text")) == F.col("_blob"), "left").drop("_blob")
-    found = F.col("_spans").isNotNull()
+    blob, spans = spare("blob", documents), spare("spans", documents)
+    hits = ledger.entries().filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    met = documents.join(checked_broadcast(hits), blob_id(F.col("text")) == F.col(blob), "left").drop(blob)
+    found = F.col(spans).isNotNull()
     # only texts with secrets go through Python
-    changed = met.filter(found).withColumn("text", redacted(F.col("text"), F.col("_spans")))
+    changed = met.filter(found).withColumn("text", redacted(F.col("text"), F.col(spans)))
     if "n_chars" in documents.columns:
         length = F.char_length("text").cast(documents.schema["n_chars"].dataType)
         changed = changed.withColumn("n_chars", length)

@@ -1,0 +1,278 @@
+"""The parts that run inside tasks, against plain versions of themselves."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sitesieve.llm import dartminhash, htmltext, projections, quality, secrets, shingles, tokenids, toxicity, warc
+
+
+# ---- secrets
+
+def plain_spans(text):
+    """The contract's base patterns, one after the other, with plain loops."""
+    out = []
+    for rank, (kind, pattern, group, least) in enumerate(secrets.BASE_RULES):
+        for m in re.compile(pattern, re.A | (re.I if kind == "assign" else 0)).finditer(text):
+            if len(m.group(group)) >= least:
+                out.append((m.start(), rank, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([
+    "password", "Token", "api_key", "secret", ": ", "=", '"', "'", " ", "abc", "hunter22", "AKIA", "ABCD1234EFGH5678",
+    "0123456789abcdef", "ſecret", "\n", "é🙂", "x",
+]), max_size=14).map("".join))
+def test_base_spans(text):
+    got = [s for s in secrets.find_spans(text, secrets._compiled(secrets.RULES)) if s[0] in ("assign", "access", "hex")]
+    assert got == plain_spans(text)
+
+
+def test_added_kinds_and_redaction():
+    text = "key -----BEGIN RSA PRIVATE KEY----- and password = hunter22 end"
+    spans = secrets.find_spans(text, secrets._compiled(secrets.RULES))
+    assert [k for k, *_ in spans] == ["pem", "assign"]
+    marked = [{"start": s, "end": e} for _, s, e in spans]
+    assert secrets.redact(text, marked) == "key [SECRET] and [SECRET] end"
+    assert secrets.redact("abcdef", [{"start": 1, "end": 4}, {"start": 2, "end": 5}]) == "a[SECRET]f"
+
+
+def test_rule_version_follows_the_rules():
+    assert secrets.rules_version() != secrets.rules_version(secrets.BASE_RULES)
+
+
+# ---- shingles and signatures
+
+def plain_shingles(text, width):
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text)
+    words = [w.lower() for w in words]
+    if not words:
+        return Counter()
+    return Counter(tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, 1)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "B", "b", "é", "9", ",", "\n", "the", "The"]), max_size=20).map(" ".join), max_size=5))
+def test_shingles_are_counted_exactly(texts):
+    raw = [t.encode() for t in texts]
+    if not raw:
+        return
+    elements, weights, docs = shingles.shingle_sets(raw, 3)
+    names = {}
+    for k, t in enumerate(raw):
+        own = docs == k
+        wanted = plain_shingles(t, 3)
+        assert sorted(weights[own].tolist()) == sorted(wanted.values())
+        for e in elements[own].tolist():
+            names.setdefault(e, set()).add(k)
+    for a in range(len(raw)):
+        for b in range(a):
+            common = set(plain_shingles(raw[a], 3)) & set(plain_shingles(raw[b], 3))
+            assert len(common) == sum({a, b} <= held for held in names.values())
+
+
+def test_chunks_do_not_change_hashes():
+    texts = [f"word{i} another text {i % 7} of some length".encode() for i in range(50)]
+    whole = shingles.word_hashes(texts)[0]
+    parts = np.concatenate([shingles.word_hashes(p)[0] for p in shingles.chunks(texts, 100)])
+    assert (whole == parts).all()
+
+
+def test_signatures_agree_as_often_as_weighted_similarity_says():
+    rng = np.random.default_rng(1)
+    elements = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    wa, wb = rng.integers(1, 4, 300).astype(float), rng.integers(1, 4, 300).astype(float)
+    wb[:60] = 0.5
+    expected = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+    docs = np.repeat([0, 1], 300)
+    got = dartminhash.signatures(np.tile(elements, 2), np.concatenate([wa, wb]), docs, 2, 4000)
+    assert (got[0] == got[1]).mean() == pytest.approx(expected, abs=0.03)
+
+
+def test_signature_does_not_depend_on_company():
+    a, b = (np.arange(5) * 977 + 13).astype(np.uint64), (np.arange(4000) * 31 + 7).astype(np.uint64)
+    alone = dartminhash.signatures(a, np.ones(5), np.zeros(5, np.int64), 1, 160)
+    both = dartminhash.signatures(np.concatenate([b, a]), np.ones(4005), np.repeat([0, 1], [4000, 5]), 2, 160)
+    assert (alone[0] == both[1]).all() and (both != dartminhash._NONE).all()
+
+
+def test_no_words_no_signature():
+    got = dartminhash.signatures(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), 2, 8)
+    assert (got == dartminhash._NONE).all()
+
+
+# ---- projections
+
+def test_blocks_link_like_brute_force():
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 16))
+    x = np.concatenate([base, base + rng.standard_normal((40, 16)) * 0.06, base[:5] * 3])
+    copies = rng.integers(1, 4, len(x))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    whole = projections.link_blocks(x, x, copies, copies, True, 0.95)
+    assert (whole.links == np.r_[near @ copies, np.zeros(len(x), int)]).all()
+    a, b = x[:30], x[30:]
+    split = projections.link_blocks(a, b, copies[:30], copies[30:], False, 0.95)
+    assert (split.links[:30] == near[:30, 30:] @ copies[30:]).all()
+    assert (split.links[30:] == near[30:, :30] @ copies[:30]).all()
+    for i, j in zip(*np.nonzero(near[:30, 30:])):
+        assert split.parent[i] == split.parent[j + 30]
+
+
+def test_count_is_calibrated():
+    least = projections.least_collisions()
+    rng = np.random.default_rng(0)
+    gaps = np.abs(rng.standard_normal((200_000, projections.PROJECTIONS)))
+    assert ((gaps <= projections.WIDTH).sum(axis=1) < least).mean() < 1e-4
+
+
+# ---- html
+
+PAGE = (
+    '<html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body><nav><ul><li>Menu</li></ul></nav>'
+    '<!-- <p>no</p> --><div class="ad">Buy</div><header>Top</header><article><header><h1>A &amp; B</h1></header><p>One\n two&nbsp;three'
+    '<p><b>Four<br>five</b><div class="comments"><p>Me too</p></div><aside>Side</aside><form><p>Mail</p></form></article>'
+    '<div id="cookie-notice">Cookies</div><footer>End</footer></body></html>'
+)
+
+
+def test_article_without_furniture():
+    assert htmltext.main_text(htmltext.page_lines(PAGE)) == "A & B\nOne two three\nFour five"
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "a < b", "<!-- x", "<script>", '<p class="x>y', "</div>", "&#0;&bogus;"])
+def test_broken_pages_do_not_fail(page):
+    htmltext.main_text(htmltext.page_lines(page))
+
+
+def test_unmarked_page_loses_what_its_neighbour_shares():
+    a = [("Site", False), ("Own text", False), ("Contact", False)]
+    shared = htmltext.common_lines([1, 2, 3], [1, 9, 3])
+    assert shared == [0, 2] and htmltext.main_text(a, shared) == "Own text"
+    assert htmltext.main_text(a, [0, 1, 2]) == "Site\nOwn text\nContact"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
+def test_common_lines_are_a_longest_common_subsequence(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    places = htmltext.common_lines(a, b)
+    assert len(places) == table[-1][-1] and places == sorted(set(places))
+    rest = iter(b)
+    assert all(a[p] in rest for p in places)
+
+
+# ---- warc
+
+class Stream:
+    def __init__(self, data):
+        self.data, self.at = data, 0
+
+    def read(self, n):
+        self.at, got = self.at + n, self.data[self.at : self.at + n]
+        return got
+
+
+def archive(records, dictionary=b"some words that records have " * 20):
+    import zstandard
+
+    machine = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+    return warc.dictionary_frame(dictionary) + b"".join(machine.compress(r) for r in records)
+
+
+def test_archive_round_trip():
+    random.seed(5)
+    pages = [(k, f"http://x/{k}\n%", random.randbytes(random.choice([0, 5, 200_000]))) for k in range(60)]
+    records = [warc.make_record(i, u, p, warc.base32_sha1(p), None, False) for i, u, p in pages]
+    back = [warc.parse_record(r) for r in warc.read_records(Stream(archive(records)))]
+    assert [(int(r["page_id"]), r["url"], r["payload"]) for r in back] == pages
+    again = warc.parse_record(warc.make_record(7, None, b"abc", warc.base32_sha1(b"abc"), 3, True))
+    assert (again["record_type"], again["refers_to"], again["payload_bytes"], again["url"]) == ("revisit", "3", 3, None)
+    assert warc.parse_record(warc.make_record(None, None, b"", warc.base32_sha1(b""), None, False))["page_id"] is None
+
+
+def test_damaged_archives_are_refused():
+    good = warc.make_record(1, "u", b"abc", warc.base32_sha1(b"abc"), None, False)
+    for bad in (b"WARC/0.9" + good[8:], good[:-1], good.replace(b"abc", b"abd"), good.replace(b"WARC-Date", b"WARC Date")):
+        with pytest.raises(warc.BadRecord):
+            warc.parse_record(bad)
+    data = archive([good])
+    for bad in (data[:-3], b"xxxx" + data[4:], data[:6]):
+        with pytest.raises(warc.BadRecord):
+            list(warc.read_records(Stream(bad)))
+
+
+# ---- token ids
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 49_407), max_size=40), max_size=5))
+def test_blocks_round_trip(blocks):
+    arrays = [np.array(b, "<u4") for b in blocks]
+    coded = tokenids.encode_blocks(arrays)
+    assert [b.tolist() for b in tokenids.decode_blocks(coded, [len(b) for b in blocks])] == blocks
+    # a block does not depend on those beside it
+    for one, code in zip(arrays, coded):
+        assert tokenids.encode_blocks([one]) == [code]
+
+
+def test_file_round_trip_and_damage():
+    import io
+
+    ids = (np.random.default_rng(2).zipf(1.3, 3000) % 49_408).astype("<u4")
+    out = io.BytesIO()
+    out.write(tokenids.MAGIC)
+    tokenids.write_ids(out, ids, block_ids=500)
+    data = out.getvalue()
+    assert (np.concatenate(list(tokenids.read_ids(io.BytesIO(data)))) == ids).all()
+    assert len(data) < 2 * len(ids)
+    for bad in (data[:-1], b"x" + data[1:], data[:40] + bytes([data[40] ^ 255]) + data[41:]):
+        with pytest.raises(tokenids.BadBlock):
+            list(tokenids.read_ids(io.BytesIO(bad)))
+
+
+@pytest.mark.parametrize("text", [None, "", "a\tb  c", "<|endoftext|> x", "don't I'LL", "é ́x", "x\r\ny İ"])
+def test_parts_encode_like_the_whole(text):
+    from sitesieve.llm.queries import model_path
+
+    known = tokenids.word_ids(model_path("word_bpe_49k.json"))
+    whole = known.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    assert tokenids.encode_text(text, known, 1).tolist() == whole
+
+
+# ---- classifiers
+
+def test_windows_keep_every_byte():
+    text = "word " * 300 + "x" * 1000
+    assert b"".join(toxicity.windows_of(text)) == text.encode() and toxicity.windows_of(None) == []
+
+
+def test_models_without_labels():
+    assert toxicity.ToxicityModel([], [], 0.0).score(["a", None]).tolist() == [0.0, 0.0]
+    assert toxicity.ToxicityModel(["a b"], [1], 1.0).score([""]).tolist() == [1.0]
+    assert quality.QualityModel(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.0, 0.0]
+
+
+def test_tables_learn_an_interaction():
+    rng = np.random.default_rng(4)
+    x = rng.random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.QualityModel(x, y)
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.9 and (0, 1) in model.pair_tables
+
+
+def test_features_of_odd_texts():
+    for text in (None, "", " ", "\n\n", "é", "A" * 100_000, "🙂 ,"):
+        got = quality.features_of(text)
+        assert len(got) == len(quality.FEATURES) and np.isfinite(got).all()
+
