@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesieve.llm.base import held_out, table
+from sitesieve.llm.base import held_out, spare, table
 from sitesieve.llm.dartminhash import one_of_each
 from sitesieve.llm.decontaminate import without_contaminated
 from sitesieve.llm.pieces import recode
@@ -22,7 +22,8 @@ from sitesieve.session import cut_lineage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
-    return docs.withColumn("_score", toxicity(F.col("text"), model)).filter("_score < 0.5").select(*docs.columns)
+    score = spare("score", docs)
+    return docs.withColumn(score, toxicity(F.col("text"), model)).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +43,10 @@ def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text beside the columns of documents; the text is what the ids decode to."""
-    both = docs.withColumn("_r", recode(F.col("text"), model_path("piece_bpe_32k.model")))
-    others = [c for c in docs.columns if c != "text"]
-    coded = both.select(*others, F.col("_r.decoded").alias("text"), F.col("_r.ids").alias("ids"))
-    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"))
+    both, ids, number = spare("both", docs), spare("ids", docs), spare("n_ids", docs)
+    coded = docs.withColumn(both, recode(F.col("text"), model_path("piece_bpe_32k.model")))
+    coded = coded.withColumn("text", F.col(f"{both}.decoded")).withColumn(ids, F.col(f"{both}.ids")).drop(both)
+    return coded.withColumn(number, F.size(ids).cast("long"))
 
 
 STAGES = [
