@@ -21,7 +21,7 @@ from sitesieve.operators.votes import require_aligned
 from sitesieve.plans import classifier as C
 from sitesieve.plans import datasets
 from sitesieve.schemas import HOST_COMPONENTS, VALIDATION_FRACTION
-from sitesieve.session import build_session, clear_cuts
+from sitesieve.session import build_session, clear_cuts, cut_lineage
 from sitesieve.sources import files, state
 from sitesieve.sources.tables import database_options
 
@@ -38,7 +38,7 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--" + flag.replace("_", "-"), **settings)
         return p
 
-    source = {"features": {"default": "feature_extraction.html_features"}, "env": {"default": None}}
+    source = {"features": {"required": True}, "env": {"default": None}}
     command("dataset-train", "out_x", "out_y", "tables*", **source)
     command("dataset-test", "out_x", "out_y", "tables*", **source)
     command("dataset-predict", "out_x", "tables*", **source)
@@ -67,8 +67,10 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _show(df: DataFrame) -> None:
-    """Print a report; all reports are class-sized."""
-    df.show(1000, truncate=False)
+    """Print every row of a report, one line each, tabs between the columns."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -120,10 +122,11 @@ def _preprocess_train(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.positional:
         rows = visits.zip_positional(pages, labels.select("label"))
     else:
-        key = [c for c in ("visit_id", "table_no", "vote_ord") if c in pages.columns and c in labels.columns]
-        rows = pages.join(labels, key)
-    parts = [c for c in ("visit_id", "table_no", "vote_ord") if c in rows.columns]
-    rows = rows.withColumn("row_id", F.concat_ws("#", *[F.col(c).cast("string") for c in parts]))
+        key = "row_id" if "row_id" in pages.columns and "row_id" in labels.columns else "visit_id"
+        require_aligned(pages, labels, key)
+        rows = pages.join(labels.select(key, "label"), key)
+    if "row_id" not in rows.columns:
+        rows = cut_lineage(visits.with_row_ids(rows))
     grams = files.read_grams(spark, args.grams)
     options = {} if args.gram_total is None else {"gram_total": args.gram_total}
     inputs, preparation = datasets.prepare_training(
@@ -135,31 +138,36 @@ def _preprocess_train(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def _evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     votes = files.read_vote_lists(spark, args.true_y)
+
+    def judged(path: str, column: str) -> DataFrame:
+        """Predictions of exactly the pages that were voted on."""
+        predictions = files.read_predictions(spark, path, column)
+        require_aligned(votes, predictions)
+        return predictions
+
     if args.command == "results":
-        first = files.read_predictions(spark, args.first, "predicted_label")
-        require_aligned(votes, first)
+        first = judged(args.first, "predicted_label")
         if args.second is None:
             report = multiclass.evaluate_multiclass(votes, first, not args.no_details)
         else:
-            second = files.read_predictions(spark, args.second, "predicted_label")
-            require_aligned(votes, second)
+            second = judged(args.second, "predicted_label")
             report = multiclass.compare_multiclass(votes, first, second, not args.no_details)
         _show(multiclass.report_order(report))
     elif args.command == "confusion":
-        table = confusion.confusion_table(votes, files.read_predictions(spark, args.predictions, "predicted_label"))
+        table = confusion.confusion_table(votes, judged(args.predictions, "predicted_label"))
         _show(table.orderBy("true_rank", F.desc("n"), "predicted_label"))
     else:
         encoded = binary.encode_binary_votes(votes)
         if args.command == "results-binary":
-            first = files.read_predictions(spark, args.first, "decision")
+            first = judged(args.first, "decision")
             if args.second is None:
                 _show(binary.evaluate_binary(encoded, first))
             else:
-                _show(binary.compare_binary(encoded, first, files.read_predictions(spark, args.second, "decision")))
+                _show(binary.compare_binary(encoded, first, judged(args.second, "decision")))
         elif args.command == "confusion-binary":
-            _show(binary.confusion_binary(encoded, files.read_predictions(spark, args.predictions, "decision")))
+            _show(binary.confusion_binary(encoded, judged(args.predictions, "decision")))
         else:
-            scores = files.read_predictions(spark, args.predictions, "prediction")
+            scores = judged(args.predictions, "prediction")
             _show(prcurve.pr_summary(encoded, scores))
             if args.curve:
                 files.write_predictions(prcurve.pr_curve(encoded, scores), args.curve)

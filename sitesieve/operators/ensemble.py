@@ -28,7 +28,13 @@ def combine_predictions(sets: list[DataFrame], majority_only: bool = False) -> D
         ballots,
         sets[0].withColumn("vote_0", F.col(key)),
     )
-    votes = [F.col(f"vote_{i}") for i in range(len(sets))]
+    voted = vote_columns(joined, len(sets), key, majority_only)
+    return voted.drop("entropy", *(["prediction"] if key == "decision" else []))
+
+
+def vote_columns(ballots: DataFrame, k: int, name: str, majority_only: bool = False) -> DataFrame:
+    """The plurality of the columns `vote_0` .. `vote_<k-1>` of a row as column `name`, in their place."""
+    votes = [F.col(f"vote_{i}") for i in range(k)]
 
     def support(vote):
         return sum((v.eqNullSafe(vote).cast("int") for v in votes[1:]), votes[0].eqNullSafe(vote).cast("int"))
@@ -38,13 +44,10 @@ def combine_predictions(sets: list[DataFrame], majority_only: bool = False) -> D
     choice = F.coalesce(*[F.when(c == top, F.struct(v.alias("v"))) for c, v in zip(counts, votes)])["v"]
     # the top votes belong to one value exactly if that value accounts for all of them
     holders = sum(((c == top).cast("int") for c in counts[1:]), (counts[0] == top).cast("int"))
-    drop = [f"vote_{i}" for i in range(len(sets))] + ["entropy", "_choice", "_single"]
-    if key == "decision":
-        drop.append("prediction")
-    voted = joined.withColumns({"_choice": choice, "_single": holders == top})
+    voted = ballots.withColumns({"_choice": choice, "_single": holders == top})
     if majority_only:
         voted = voted.filter("_single")
-    return voted.withColumn(key, F.col("_choice")).drop(*drop)
+    return voted.withColumn(name, F.col("_choice")).drop("_choice", "_single", *[f"vote_{i}" for i in range(k)])
 
 
 def label_distribution(predictions: DataFrame) -> DataFrame:

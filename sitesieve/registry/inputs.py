@@ -76,6 +76,14 @@ def model_predictions(spark: SparkSession, folder: str) -> list[DataFrame]:
     ]
 
 
+def usual_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """A model that knows users, not days: the label of the highest value a user ever had, for each day."""
+    events = table(spark, folder, "events")
+    usual = events.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("value"), "event_id")).alias("predicted_label"))
+    day = F.concat_ws("-", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string"))
+    return events.select("user_id", day.alias("visit_id")).distinct().join(usual, "user_id").select("visit_id", "predicted_label")
+
+
 def binary_votes(spark: SparkSession, folder: str) -> DataFrame:
     positive = F.col("label").isin("purchase", "signup").cast("int")
     return _user_days(spark, folder).select("visit_id", "vote_ord", positive.alias("y"))
@@ -92,8 +100,8 @@ def mean_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, folder: str) -> DataFrame:
-    """The first ten dimensions of a vector as class scores."""
-    scores = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    """All dimensions of a vector as class scores."""
+    scores = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, folder, "embeddings").select("vec_id", scores.alias("logits"))
 
 
@@ -147,7 +155,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     meta = F.when(F.col("job") % 7 == 3, short(take("meta_text"))).otherwise(take("meta_text"))
     body = F.when(F.col("job") % 7 == 5, short(take("body_text"))).otherwise(take("body_text"))
     return folded.select(
-        F.lit("m1").alias("model"), F.concat(F.lit("job"), F.col("job").cast("string")).alias("job_id"),
+        F.when(F.col("job") % 5 == 4, "m2").otherwise("m1").alias("model"), F.concat(F.lit("job"), F.col("job").cast("string")).alias("job_id"),
         F.when(F.col("job") % 2 == 0, none).otherwise(take("page_id")).alias("visit_id"),
         take("domain_name").alias("domain_name"), body.alias("body_text"), meta.alias("meta_text"),
         F.when(F.col("job") % 3 == 0, none).otherwise(take("meta_text")).alias("external_hosts"),

@@ -132,7 +132,7 @@ ballots AS (SELECT pred1.visit_id, pred1.predicted_label a, pred2.predicted_labe
             FROM pred1 JOIN pred2 USING (visit_id) JOIN pred3 USING (visit_id))
 """
 
-_SOFTMAX = """WITH l AS (SELECT vec_id, [x::double for x in embedding[1:10]] v FROM embeddings),
+_SOFTMAX = """WITH l AS (SELECT vec_id, [x::double for x in embedding] v FROM embeddings),
 e AS (SELECT vec_id, [exp(x - list_max(v)) for x in v] v FROM l),
 p AS (SELECT vec_id, [x / list_sum(v) for x in v] v FROM e)
 """
@@ -143,7 +143,7 @@ _VOCABULARY = f"""WITH toks AS (SELECT doc_id, {_WORDS} w FROM documents),
 flat AS (SELECT doc_id, unnest(w) token, generate_subscripts(w, 1) pos, len(w) n FROM toks),
 counted AS (SELECT token, count(*) n FROM flat GROUP BY token),
 vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 token_id
-          FROM counted QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 20000)
+          FROM counted)
 """
 
 _REQUEST_ROWS = r"""WITH hosts AS (SELECT page_id // 25 job, page_id, html, url,
@@ -212,7 +212,11 @@ ORACLE: dict[str, str] = {
         round(avg(hit) FILTER (WHERE n_labels > 1), 6) included_controversial FROM (
         SELECT v.visit_id, count(DISTINCT v.label) n_labels,
           max(CASE WHEN v.label = p.predicted_label THEN 1.0::double ELSE 0.0 END) hit
-        FROM votes v JOIN pred2 p USING (visit_id) WHERE v.label <> 'view' GROUP BY 1) t""", "votes", "pred2"),
+        FROM votes v JOIN (
+          SELECT DISTINCT concat(cast(e.user_id AS varchar), '-', cast(cast(e.ts AS date) AS varchar)) visit_id, u.predicted_label
+          FROM events e JOIN (SELECT user_id, event_type predicted_label FROM (SELECT *, row_number() OVER
+            (PARTITION BY user_id ORDER BY value DESC, event_id) r FROM events) q WHERE r = 1) u USING (user_id)
+        ) p USING (visit_id) GROUP BY 1) t""", "votes"),
     "compare_models": _with("", *_JUDGED, "pred1", "pred2").rstrip() + f""", {_UNIVERSE2}
         SELECT population, metric, label, round(a.first, 6) AS "first", round(b.second, 6) AS "second",
           round(b.second - a.first, 6) AS delta
@@ -328,12 +332,14 @@ ORACLE: dict[str, str] = {
     "model_info": """SELECT CASE WHEN count(DISTINCT quality) = 2 THEN 'binary' ELSE 'multi' END kind,
         CAST(count(DISTINCT quality) AS integer) n_labels, count(DISTINCT quality) = 2 has_threshold FROM labels""",
     "explode_requests": _REQUEST_ROWS + "SELECT job_id, pos, visit_id, domain_name, body_text, meta_text, external_hosts FROM good",
-    "rejected_requests": """SELECT DISTINCT concat('job', page_id // 25) job_id, 'm1' model,
-        CASE WHEN (page_id // 25) % 7 = 3 THEN 'domain_name and meta_text diff length'
-             ELSE 'domain_name and body_text diff length' END reason
+    "rejected_requests": """SELECT DISTINCT concat('job', page_id // 25) job_id,
+        CASE WHEN (page_id // 25) % 5 = 4 THEN 'm2' ELSE 'm1' END model,
+        CASE WHEN (page_id // 25) % 7 = 3 THEN 'meta_text is not as long as domain_name'
+             ELSE 'body_text is not as long as domain_name' END reason, CAST(NULL AS varchar) bad_line
         FROM pages WHERE (page_id // 25) % 7 IN (3, 5)""",
     "fold_responses": _REQUEST_ROWS + """SELECT job_id, concat(
         '{"visit_id":[', string_agg(concat('"', visit_id, '"'), ',' ORDER BY pos),
         '],"category":[', string_agg(concat('"L', len(body_text) % 3, '"'), ',' ORDER BY pos), ']}') response
         FROM good GROUP BY job_id""",
 }
+ORACLE["token_windows_joined"] = ORACLE["token_windows"]

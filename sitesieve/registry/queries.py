@@ -113,9 +113,7 @@ def multiclass_metrics_lists(s, d):
 
 
 def inclusion_rate(s, d):
-    _, second, _ = I.model_predictions(s, d)
-    votes = I.votes(s, d).filter(F.col("label") != "view")
-    rates = multiclass.inclusion_rates(votes, second)
+    rates = multiclass.inclusion_rates(I.votes(s, d), I.usual_predictions(s, d))
     return rates.select(*[_r(F.col(c), c) for c in rates.columns])
 
 
@@ -260,19 +258,26 @@ def text_chunks(s, d):
     )
 
 
-VOCABULARY = 20_000
-
-
 def vocabulary(s, d):
-    return tokens.fit_vocabulary(I.documents(s, d), "text", VOCABULARY).select(
+    return tokens.fit_vocabulary(I.documents(s, d), "text").select(
         "token", "n", F.col("token_id").cast("bigint").alias("token_id")
     )
 
 
 def token_windows(s, d):
     docs = I.documents(s, d)
-    encode = tokens.token_encoder(tokens.fit_vocabulary(docs, "text", VOCABULARY))
-    rows = tokens.window_rows(tokens.with_windows(docs, encode, "text"))
+    encode = tokens.token_encoder(tokens.fit_vocabulary(docs, "text"))
+    return _window_sums(tokens.with_windows(docs, encode, "text"))
+
+
+def token_windows_joined(s, d):
+    """The way of a vocabulary that is too large for a broadcast."""
+    docs = I.documents(s, d)
+    return _window_sums(tokens.with_joined_windows(docs, tokens.fit_vocabulary(docs, "text"), "doc_id", "text"))
+
+
+def _window_sums(pages):
+    rows = tokens.window_rows(pages)
     ids, zero = F.col("input_ids"), F.lit(0).cast("bigint")
     weighted = F.transform(ids, lambda t, i: t.cast("bigint") * (i + 1))
     return rows.select(
@@ -338,7 +343,7 @@ def host_svd(s, d):
     counts = cut_lineage(counts)
     idf = cut_lineage(hosts.fit_idf(counts, n_pages))
     entries = cut_lineage(hosts.tfidf(counts, idf, "visit_id"))
-    space = hosts.fit_svd(entries, "visit_id", idf, k=10, iterations=2)
+    space = hosts.fit_svd(entries, "visit_id", idf)
     return hosts.project(entries, space.vectors, "visit_id", idf.select("term", F.col("df").alias("n")))
 
 
@@ -362,39 +367,35 @@ def _prepared(s: SparkSession, d: str, visits_of) -> tuple[DataFrame, datasets.P
     grams = cut_lineage(tokens.count_grams(I.documents(s, d), "text"))
     total = grams.filter(F.instr("gram", " ") == 0).agg(F.sum("n").alias("n")).first()["n"]
     inputs, preparation = datasets.prepare_training(
-        rows, grams, numeric=["nb_letters"], components=10, vocabulary_limit=VOCABULARY,
-        gram_total=total, svd_iterations=2,
+        rows, grams, numeric=["nb_letters"], gram_total=total,
     )
     pool = features.join(rows.select("visit_id"), "visit_id", "left_anti")
     return cut_lineage(inputs), preparation, pool
 
 
-_FIT = {"candidates": [{"regParam": 0.05}], "buckets": 1 << 12, "max_iter": 10}
-
-
 def fit_predict(s, d):
     inputs, preparation, pool = _prepared(s, d, I.visits_both)
-    model = C.fit_classifier(inputs, preparation.labels, **_FIT)
+    model = C.fit_classifier(inputs, preparation.labels)
     return C.predict(model, datasets.prepare_inputs(pool, preparation), include_entropy=True)
 
 
 def model_info(s, d):
     inputs, preparation, _ = _prepared(s, d, I.visits_quality)
-    info = C.model_info(s, C.fit_classifier(inputs, preparation.labels, **_FIT))
+    info = C.model_info(s, C.fit_classifier(inputs, preparation.labels))
     return info.select("kind", "n_labels", F.col("threshold").between(0.0, 1.0).alias("has_threshold"))
 
 
 def self_distill(s, d):
     inputs, preparation, pool = _prepared(s, d, I.visits_both)
     unlabelled = datasets.prepare_inputs(pool, preparation)
-    fresh, _ = rounds.self_distill(inputs, unlabelled, preparation.labels, **_FIT)
+    fresh, _ = rounds.self_distill(inputs, unlabelled, preparation.labels)
     grown, _ = rounds.absorb_labels(I.visits_both(s, d), pool, fresh)
     return grown
 
 
 def active_round(s, d):
     inputs, preparation, pool = _prepared(s, d, I.visits_both)
-    model = C.fit_classifier(inputs, preparation.labels, **_FIT)
+    model = C.fit_classifier(inputs, preparation.labels)
     return rounds.most_uncertain(model, datasets.prepare_inputs(pool, preparation), 100)
 
 
@@ -422,15 +423,16 @@ def fold_responses(s, d):
 
 def score_stream(s, d):
     inputs, preparation, _ = _prepared(s, d, I.visits_both)
-    model = C.fit_classifier(inputs, preparation.labels, **_FIT)
+    model = C.fit_classifier(inputs, preparation.labels)
     base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     I.requests(s, d).write.mode("overwrite").json(f"{base}/in")
     query = stream.score_stream(
-        stream.request_stream(s, f"{base}/in"), preparation, model,
+        stream.request_stream(s, f"{base}/in"), {"m1": (preparation, model), "m2": (preparation, model)},
         f"{base}/results", f"{base}/rejects", f"{base}/checkpoint",
     )
     query.awaitTermination()
-    return stream.read_results(s, f"{base}/results").drop("batch_id")
+    parts = [stream.read_results(s, f"{base}/results", m).drop("batch_id").withColumn("model", F.lit(m)) for m in ("m1", "m2")]
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -443,7 +445,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         confusion_matrix, confusion_binary, label_distribution, combine_predictions,
         combine_majority_only, combine_decisions, rank_uncertain, top_uncertain,
         recombine_windows, binary_decisions, domain_strip, hosts_join, count_tag, model_text,
-        text_chunks, vocabulary, token_windows, gram_counts, segment_domains, numeric_state,
+        text_chunks, vocabulary, token_windows, token_windows_joined, gram_counts, segment_domains, numeric_state,
         impute_scale, tfidf, host_idf, host_svd, stratified_split, label_index, fit_predict,
         model_info, self_distill, active_round, explode_requests, rejected_requests,
         fold_responses, score_stream,

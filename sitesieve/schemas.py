@@ -46,7 +46,8 @@ HOST_COMPONENTS = 70
 WINDOW_SIZE = 512
 TOKEN_START, TOKEN_PAD, TOKEN_END, TOKEN_UNKNOWN = 0, 1, 2, 3
 FIRST_WORD_ID = 4
-VOCABULARY_LIMIT = 250_000
+# Most tokens that are looked up from a broadcast table; a larger vocabulary is joined.
+VOCABULARY_BROADCAST = 250_000
 VALIDATION_FRACTION = 0.15
 SPLIT_SEED = 42
 

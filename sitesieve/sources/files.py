@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import visits as V
 from ..operators.votes import fold_votes
 from ..schemas import GRAMS, PAGES, VOTE_LISTS, VOTES
+from ..session import cut_lineage, release
 
 
 def read_pages(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
@@ -40,15 +41,16 @@ def read_grams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_training_set(rows: DataFrame, path_x: str, path_y: str) -> None:
-    """Pages and labels of labelled rows as two keyed Parquet data sets.
+    """Pages and labels of labelled rows as two Parquet data sets with one unique `row_id`.
 
-    Both are projections of one join. The label file needs only the join keys
-    of the feature side, so it is cheaper to derive it again than to keep the
-    wide rows around.
+    The numbered rows are written once; labels are a projection of what was
+    written, so the two sets agree whatever happens between the writes.
     """
-    pages, labels = V.split_labels(rows)
+    numbered = cut_lineage(V.with_row_ids(rows))
+    pages, labels = V.split_labels(numbered)
     pages.write.mode("overwrite").parquet(path_x)
     labels.write.mode("overwrite").parquet(path_y)
+    release(numbered)
 
 
 def write_prediction_set(rows: DataFrame, path: str) -> None:

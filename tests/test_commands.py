@@ -49,4 +49,4 @@ def test_from_tables_to_reports(spark, tmp_path, capsys):
     run("pr", at("ty2"), at("b"), "--curve", at("curve"))
     printed = capsys.readouterr().out
     assert spark.read.parquet(at("curve")).count() == 3
-    assert "auc_pr" in printed and "precision" in printed and "|20 |0  |0  |20 |" in printed
+    assert "auc_pr" in printed and "precision" in printed and "20\t0\t0\t20" in printed

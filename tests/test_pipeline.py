@@ -191,7 +191,7 @@ def test_request_defaults(spark, tmp_path):
 def test_requests_of_unequal_length_are_rejected(spark, tmp_path, field, value):
     df = request_frame(spark, tmp_path / "in", [request("j", **{field: value}), request("ok")])
     assert [(r["job_id"], r["reason"]) for r in requests.rejected_requests(df).collect()] == [
-        ("j", f"domain_name and {field} diff length")]
+        ("j", f"{field} is not as long as domain_name")]
     assert {r["job_id"] for r in requests.explode_requests(df).collect()} == {"ok"}
 
 
@@ -204,28 +204,43 @@ def test_responses(spark):
         "visit_id": ["a", "b"], "prediction": [0.5, 0.5], "decision": [True, True]}
 
 
+def test_no_request_vanishes(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [json.dumps(request("ok")), "no json", '{"job_id": "x", "model": "m"}', json.dumps(request("")), json.dumps(request("j", model=None))]
+    (folder / "a.json").write_text("\n".join(lines), encoding="utf-8")
+    df = requests.read_requests(spark, str(folder))
+    refused = {(r["job_id"], r["reason"], r["bad_line"]) for r in requests.rejected_requests(df).collect()}
+    assert refused == {
+        (None, "unreadable line", "no json"), ("x", "no domain_name", None), ("", "no job_id", None), ("j", "no model", None)}
+    assert {r["job_id"] for r in requests.explode_requests(df).collect()} == {"ok"}
+
+
 def test_stream_equals_batch_and_repeats_are_harmless(spark, prepared, tmp_path):
     _, _, preparation, model = prepared
-    bodies = [request("j1"), request("j2", visit_id=["x", "y"], external_hosts=["shop1.be blog2.be", ""]),
-              request("bad", meta_text=[])]
+    bodies = [request("007"), request("1e3", visit_id=["x", "y"], external_hosts=["shop1.be blog2.be", ""]),
+              request("bad", meta_text=[]), request("other", model="m2"), request("lost", model="none")]
     batch = request_frame(spark, tmp_path / "in", bodies)
     columns = ["job_id", "pos", "visit_id", "predicted_label"]
-    expected = sorted(tuple(r) for r in stream.score_requests(batch, preparation, model).select(*columns).collect())
-    assert len(expected) == 4
+    rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    expected = {name: rows(stream.score_requests(batch.filter(F.col("model") == name), preparation, model)) for name in ("m", "m2")}
+    assert [len(v) for v in expected.values()] == [4, 2]
     paths = [str(tmp_path / p) for p in ("results", "rejects", "checkpoint")]
+    models = {name: (preparation, model) for name in expected}
 
     def run(checkpoint):
         query = stream.score_stream(
-            stream.request_stream(spark, str(tmp_path / "in"), 1), preparation, model, paths[0], paths[1], checkpoint)
+            stream.request_stream(spark, str(tmp_path / "in"), 1), models, paths[0], paths[1], checkpoint)
         query.awaitTermination()
-        return sorted(tuple(r) for r in stream.read_results(spark, paths[0]).select(*columns).collect())
+        return {name: rows(stream.read_results(spark, paths[0], name)) for name in models}
 
     assert run(paths[2]) == expected
     # a second run from an empty checkpoint repeats the same batches
     assert run(paths[2] + "2") == expected
-    assert {r["job_id"] for r in spark.read.parquet(paths[1]).collect()} == {"bad"}
-    answers = {r["job_id"]: json.loads(r["response"]) for r in stream.responses(spark, paths[0]).collect()}
-    assert answers["j2"]["visit_id"] == ["x", "y"]
+    assert {(r["job_id"], r["reason"]) for r in spark.read.parquet(paths[1]).collect()} == {
+        ("bad", "meta_text is not as long as domain_name"), ("lost", "unknown model")}
+    answers = {r["job_id"]: json.loads(r["response"]) for r in stream.responses(spark, paths[0], "m").collect()}
+    assert set(answers) == {"007", "1e3"} and answers["1e3"]["visit_id"] == ["x", "y"]
 
 
 # --- sources ------------------------------------------------------------------
