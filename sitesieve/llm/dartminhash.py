@@ -9,8 +9,9 @@ ranks are opened as fill all coordinates, so short and long documents cost about
 
 Exact copies are collapsed before anything else. Documents that agree in a band share a bucket. In a bucket
 members are compared with a leader, not with each other; leaders double in number from round to round, a leader
-leaves the bucket once all others met it, and members already connected are not compared again, so
-no pair in a bucket goes untried unless it is connected anyway. Every comparison is exact.
+leaves the bucket once all others met it, members already connected are not compared again, nor are two whose
+distances from the first leader differ by more than a link is long (distances obey the triangle inequality).
+So no pair in a bucket goes untried unless it is connected anyway or too far apart. Every comparison is exact.
 
 Rules for odd rows: null and empty texts and texts without words are no copies of anything, unless (with some
 character in them) equal in full; ids may be null or repeated; a repeated row is a copy of the other; other
@@ -128,7 +129,7 @@ def similarity(a: tuple, b: tuple) -> float:
     return common / (a[1].sum() + b[1].sum() - common)
 
 
-def _verify(width: int, least: float):
+def _verify(width: int):
     def run(batches):
         known: OrderedDict = OrderedDict()
 
@@ -142,13 +143,8 @@ def _verify(width: int, least: float):
 
         for batch in batches:
             a, b, left, right = (c.to_pylist() for c in batch.columns)
-            near = [
-                k for k in range(len(a))
-                if similarity(multiset(b[k], right[k]), multiset(a[k], left[k])) >= least
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a[k] for k in near], pa.int64()), pa.array([b[k] for k in near], pa.int64())], ["a", "b"]
-            )
+            sims = [float(similarity(multiset(b[k], right[k]), multiset(a[k], left[k]))) for k in range(len(a))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
     return run
 
@@ -190,10 +186,18 @@ def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, wid
     texts = cut_lineage(texts.select("v", "text").dropDuplicates(["v"]))
     totals = wanted.select("v", "total")
     edges, tried, labels, leaders_per_bucket = None, None, None, 1
+    # how near each member is to the first leader of its bucket, once that is known
+    open_members = open_members.withColumn("near", F.lit(None).cast("double"))
     while not open_members.isEmpty():
         slot = F.pmod(F.xxhash64("v", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket)).alias("slot")
-        leaders = cut_lineage(open_members.groupBy("key", slot).agg(F.min("v").alias("leader")).select("key", "leader"))
-        pairs = open_members.join(leaders, "key").filter("v <> leader").select(
+        first = F.min(F.struct("v", "near"))
+        leaders = cut_lineage(
+            open_members.groupBy("key", slot).agg(first.alias("f")).select("key", F.col("f.v").alias("leader"), F.col("f.near").alias("leader_near"))
+        )
+        met = open_members.join(leaders, "key").filter("v <> leader")
+        # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
+        apart = F.abs(F.col("near") - F.col("leader_near")) > 1 - least + 1e-9
+        pairs = met.filter(~F.coalesce(apart, F.lit(False))).select(
             F.greatest("v", "leader").alias("a"), F.least("v", "leader").alias("b")
         ).distinct()
         if labels is not None:
@@ -205,15 +209,22 @@ def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, wid
         both = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a").join(
             texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b"
         ).select("a", "b", "left", "right")
-        found = cut_lineage(both.mapInArrow(_verify(width, least), "a bigint, b bigint"))
+        compared = cut_lineage(both.mapInArrow(_verify(width), "a bigint, b bigint, sim double"))
+        found = compared.filter(F.col("sim") >= least).select("a", "b")
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = cut_lineage(components(edges))
+        stars = found if labels is None else found.unionByName(labels.select(F.col("v").alias("a"), F.col("component").alias("b")))
+        labels = cut_lineage(components(stars))
         # leaders have met everyone in their bucket; a bucket of one component needs no more comparisons
-        left = open_members.join(leaders.withColumnRenamed("leader", "v"), ["key", "v"], "left_anti")
-        named = left.join(labels, "v", "left").select("key", "v", F.coalesce("component", "v").alias("label"))
+        left = open_members.join(leaders.select("key", F.col("leader").alias("v")), ["key", "v"], "left_anti")
+        if leaders_per_bucket == 1:
+            seen = left.drop("near").join(leaders.select("key", "leader"), "key").withColumns(
+                {"a": F.greatest("v", "leader"), "b": F.least("v", "leader")}
+            )
+            left = seen.join(compared, ["a", "b"], "left").select("key", "v", F.col("sim").alias("near"))
+        named = left.join(labels, "v", "left").select("key", "v", "near", F.coalesce("component", "v").alias("label"))
         mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        open_members = cut_lineage(named.join(mixed, "key").select("key", "v"))
+        open_members = cut_lineage(named.join(mixed, "key").select("key", "v", "near"))
         leaders_per_bucket = min(2 * leaders_per_bucket, MOST_LEADERS)
     return edges
 
