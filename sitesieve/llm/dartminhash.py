@@ -8,10 +8,12 @@ the signature: two documents agree in a coordinate with the probability of their
 ranks are opened as fill all coordinates, so short and long documents cost about the same.
 
 Exact copies are collapsed before anything else. Documents that agree in a band share a bucket. In a bucket
-members are compared with a leader, not with each other; leaders double in number from round to round, a leader
+members are compared with a leader, not with each other; there are more leaders from round to round, a leader
 leaves the bucket once all others met it, members already connected are not compared again, nor are two whose
-distances from the first leader differ by more than a link is long (distances obey the triangle inequality).
-So no pair in a bucket goes untried unless it is connected anyway or too far apart. Every comparison is exact.
+distances from the first leader differ by more than a link is long (distances obey the triangle inequality),
+nor two whose signatures agree too seldom for a link, by a bound that a pair at the threshold misses with
+probability 1e-6. So no other pair in a bucket goes untried unless it is connected anyway. What is compared is
+compared exactly.
 
 Rules for odd rows: null and empty texts and texts without words are no copies of anything, unless (with some
 character in them) equal in full; ids may be null or repeated; a repeated row is a copy of the other; other
@@ -37,8 +39,12 @@ WIDTH = 5
 SIMILARITY = 0.8
 # A pair at the threshold is missed with probability (1 - 0.8**5) ** 32 < 4e-6.
 BANDS, ROWS = 32, 5
-# Rounds double the leaders of a bucket up to this number.
-MOST_LEADERS = 64
+# Coordinates of a signature; those beyond the bands serve the estimate alone, which keeps two bits of each.
+COORDINATES = 320
+# A pair at the threshold is dropped by the estimate with this probability at most.
+MISS = 1e-6
+# Times the leaders of a bucket that the next round has.
+MORE_LEADERS = 4
 # Cells worked on at once.
 CELLS = 1 << 19
 
@@ -101,22 +107,50 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return got
 
 
+def two_bits(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, 32 coordinates to an integer."""
+    bits = (mix(signature) & U(3)).reshape(len(signature), -1, 32) << (U(2) * np.arange(32, dtype=U))
+    return np.bitwise_or.reduce(bits, axis=2)
+
+
+def least_agreements(least: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+    """The number of agreeing coordinates (in two bits) that a pair at the threshold falls below with `miss` at most."""
+    p = least + (1 - least) / 4
+    below = 0.0
+    for k in range(coordinates + 1):
+        below += math.exp(
+            math.lgamma(coordinates + 1) - math.lgamma(k + 1) - math.lgamma(coordinates - k + 1)
+            + k * math.log(p) + (coordinates - k) * math.log1p(-p)
+        )
+        if below > miss:
+            return k
+    return coordinates
+
+
+def agreements(a: str, b: str, coordinates: int = COORDINATES) -> Column:
+    """Number of coordinates that agree in their two bits, of two sketch columns."""
+    apart = [f"{a}[{i}] ^ {b}[{i}]" for i in range(coordinates // 32)]
+    counts = " + ".join(f"bit_count((({x}) | shiftright({x}, 1)) & {0x5555555555555555}L)" for x in apart)
+    return F.expr(f"{coordinates} - ({counts})")
+
+
 def _sketch(width: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-            totals, coded = [], []
+            totals, coded, bits = [np.zeros(0, np.int64)], [np.zeros((0, bands), U)], [np.zeros((0, COORDINATES // 32), U)]
             for piece in chunks(texts):
                 elements, weights, docs = shingle_sets(piece, width)
-                total = np.bincount(docs, weights, len(piece)).astype(np.int64)
-                got = band_hashes(signatures(elements, weights, docs, len(piece), bands * rows), bands, rows)
-                totals.append(total)
-                coded.append(got)
-            total = np.concatenate(totals) if totals else np.zeros(0, np.int64)
-            flat = np.concatenate(coded).view(np.int64) if coded else np.zeros((0, bands), np.int64)
-            column = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), bands).cast(pa.list_(pa.int64()))
+                totals.append(np.bincount(docs, weights, len(piece)).astype(np.int64))
+                got = signatures(elements, weights, docs, len(piece), COORDINATES)
+                coded.append(band_hashes(got[:, : bands * rows], bands, rows))
+                bits.append(two_bits(got))
+            lists = []
+            for parts in (coded, bits):
+                whole = np.concatenate(parts).view(np.int64)
+                lists.append(pa.FixedSizeListArray.from_arrays(pa.array(whole.ravel()), whole.shape[1]).cast(pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(total), column], ["id", "content", "total", "bands"]
+                [*batch.columns[:2], pa.array(np.concatenate(totals)), *lists], ["id", "content", "total", "bands", "bits"]
             )
 
     return run
@@ -157,10 +191,11 @@ def contents_of(documents: DataFrame, id_column: str, width: int, bands: int, ro
     """(id, content) of every row, and per distinct text its number, first id, size and bands."""
     keyed = documents.select(F.col(id_column).alias("id"), content_of(F.col("text")).alias("content"), "text")
     sketched = cut_lineage(
-        keyed.mapInArrow(_sketch(width, bands, rows), f"id {keyed.schema['id'].dataType.simpleString()}, content binary, total bigint, bands array<bigint>")
+        keyed.mapInArrow(_sketch(width, bands, rows), f"id {keyed.schema['id'].dataType.simpleString()}, content binary, total bigint, bands array<bigint>, bits array<bigint>")
     )
     distinct = sketched.groupBy("content").agg(
-        F.min("id").alias("first_id"), F.first("total").alias("total"), F.first("bands").alias("bands")
+        F.min("id").alias("first_id"), F.first("total").alias("total"), F.first("bands").alias("bands"),
+        F.first("bits").alias("bits"),
     )
     # smaller numbers for smaller ids: the first of near copies tends to lead its buckets
     numbered = cut_lineage(distinct.sort("first_id", "content").withColumn("v", F.monotonically_increasing_id()))
@@ -176,7 +211,7 @@ def buckets_of(numbered: DataFrame) -> DataFrame:
 
 def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, width: int, least: float) -> DataFrame:
     """Edges (a, b) between numbers of texts, enough to connect all that are similar."""
-    open_members = cut_lineage(buckets_of(numbered))
+    open_members = cut_lineage(buckets_of(numbered).join(numbered.select("v", "bits"), "v").select("key", "v", "bits"))
     wanted = open_members.select("v").distinct().join(numbered.select("v", "first_id", "content", "total"), "v")
     wanted = cut_lineage(wanted)
     keyed = documents.select(F.col(id_column).alias("first_id"), content_of(F.col("text")).alias("content"), "text")
@@ -190,11 +225,12 @@ def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, wid
     open_members = open_members.withColumn("near", F.lit(None).cast("double"))
     while not open_members.isEmpty():
         slot = F.pmod(F.xxhash64("v", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket)).alias("slot")
-        first = F.min(F.struct("v", "near"))
+        first = F.min(F.struct("v", "near", "bits"))
         leaders = cut_lineage(
-            open_members.groupBy("key", slot).agg(first.alias("f")).select("key", F.col("f.v").alias("leader"), F.col("f.near").alias("leader_near"))
+            open_members.groupBy("key", slot).agg(first.alias("f")).select("key", F.col("f.v").alias("leader"), F.col("f.near").alias("leader_near"), F.col("f.bits").alias("leader_bits"))
         )
         met = open_members.join(leaders, "key").filter("v <> leader")
+        met = met.filter(agreements("bits", "leader_bits") >= least_agreements(least))
         # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
         apart = F.abs(F.col("near") - F.col("leader_near")) > 1 - least + 1e-9
         pairs = met.filter(~F.coalesce(apart, F.lit(False))).select(
@@ -221,11 +257,11 @@ def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, wid
             seen = left.drop("near").join(leaders.select("key", "leader"), "key").withColumns(
                 {"a": F.greatest("v", "leader"), "b": F.least("v", "leader")}
             )
-            left = seen.join(compared, ["a", "b"], "left").select("key", "v", F.col("sim").alias("near"))
-        named = left.join(labels, "v", "left").select("key", "v", "near", F.coalesce("component", "v").alias("label"))
+            left = seen.join(compared, ["a", "b"], "left").select("key", "v", F.col("sim").alias("near"), "bits")
+        named = left.join(labels, "v", "left").select("key", "v", "near", "bits", F.coalesce("component", "v").alias("label"))
         mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        open_members = cut_lineage(named.join(mixed, "key").select("key", "v", "near"))
-        leaders_per_bucket = min(2 * leaders_per_bucket, MOST_LEADERS)
+        open_members = cut_lineage(named.join(mixed, "key").select("key", "v", "near", "bits"))
+        leaders_per_bucket *= MORE_LEADERS
     return edges
 
 
