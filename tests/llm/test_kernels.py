@@ -148,6 +148,11 @@ def test_article_without_furniture():
     assert htmltext.main_text(htmltext.page_lines(PAGE)) == "A & B\nOne two three\nFour five"
 
 
+def test_headers_of_article_and_page():
+    page = '<div class="site-header">Top</div><article><div class="post-header"><h1>T</h1></div><p class="x ad-box">Buy</p><p>Text</p></article>'
+    assert htmltext.main_text(htmltext.page_lines(page)) == "T\nText"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "a < b", "<!-- x", "<script>", '<p class="x>y', "</div>", "&#0;&bogus;"])
 def test_broken_pages_do_not_fail(page):
     htmltext.main_text(htmltext.page_lines(page))
