@@ -64,6 +64,6 @@ def test_top_k_does_not_sort_everything(spark, small):
 
 def test_no_cross_joins(spark, small):
     light = [n for n in entry.oracle_sql() if n not in SLOW]
-    for name in light[:35]:
+    for name in light:
         plan = plan_of(entry.queries()[name](spark, small))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
