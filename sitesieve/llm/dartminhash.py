@@ -222,14 +222,17 @@ def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, wid
     totals = wanted.select("v", "total")
     edges, tried, labels, leaders_per_bucket = None, None, None, 1
     # how near each member is to the first leader of its bucket, once that is known
-    open_members = open_members.withColumn("near", F.lit(None).cast("double"))
+    open_members = open_members.withColumns({"near": F.lit(None).cast("double"), "label": F.col("v")})
     while not open_members.isEmpty():
         slot = F.pmod(F.xxhash64("v", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket)).alias("slot")
-        first = F.min(F.struct("v", "near", "bits"))
+        first = F.min(F.struct("v", "near", "bits", "label"))
         leaders = cut_lineage(
-            open_members.groupBy("key", slot).agg(first.alias("f")).select("key", F.col("f.v").alias("leader"), F.col("f.near").alias("leader_near"), F.col("f.bits").alias("leader_bits"))
+            open_members.groupBy("key", slot).agg(first.alias("f")).select(
+            "key", F.col("f.v").alias("leader"), F.col("f.near").alias("leader_near"), F.col("f.bits").alias("leader_bits"),
+            F.col("f.label").alias("leader_label"),
         )
-        met = open_members.join(leaders, "key").filter("v <> leader")
+        )
+        met = open_members.join(leaders, "key").filter("label <> leader_label")
         met = met.filter(agreements("bits", "leader_bits") >= least_agreements(least))
         # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
         apart = F.abs(F.col("near") - F.col("leader_near")) > 1 - least + 1e-9
@@ -237,7 +240,7 @@ def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, wid
             F.greatest("v", "leader").alias("a"), F.least("v", "leader").alias("b")
         ).distinct()
         if labels is not None:
-            pairs = with_labels(pairs, labels).filter("label_a <> label_b").select("a", "b").join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         sized = pairs.join(totals.select(F.col("v").alias("a"), F.col("total").alias("size_a")), "a").join(
             totals.select(F.col("v").alias("b"), F.col("total").alias("size_b")), "b"
         )
@@ -254,25 +257,17 @@ def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, wid
         # leaders have met everyone in their bucket; a bucket of one component needs no more comparisons
         left = open_members.join(leaders.select("key", F.col("leader").alias("v")), ["key", "v"], "left_anti")
         if leaders_per_bucket == 1:
-            seen = left.drop("near").join(leaders.select("key", "leader"), "key").withColumns(
+            seen = left.drop("near", "label").join(leaders.select("key", "leader"), "key").withColumns(
                 {"a": F.greatest("v", "leader"), "b": F.least("v", "leader")}
             )
             left = seen.join(compared, ["a", "b"], "left").select("key", "v", F.col("sim").alias("near"), "bits")
-        named = left.join(labels, "v", "left").select("key", "v", "near", "bits", F.coalesce("component", "v").alias("label"))
+        named = left.drop("label").join(labels, "v", "left").select("key", "v", "near", "bits", F.coalesce("component", "v").alias("label"))
         mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        open_members = cut_lineage(named.join(mixed, "key").select("key", "v", "near", "bits"))
+        open_members = cut_lineage(named.join(mixed, "key").select("key", "v", "near", "bits", "label"))
         leaders_per_bucket *= MORE_LEADERS
     return edges
 
 
-def with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds the component of both ends; a text without links is its own."""
-    for end in ("a", "b"):
-        named = labels.select(F.col("v").alias(end), F.col("component").alias(f"label_{end}"))
-        pairs = pairs.join(named, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-    return pairs
-
-
 def near_duplicates(
     documents: DataFrame, id_column: str = "doc_id", width: int = WIDTH, least: float = SIMILARITY,
     bands: int = BANDS, rows: int = ROWS,
