@@ -3,7 +3,7 @@
 A text is cut at white space into windows of a few words. Each window is compressed with either dictionary;
 how many bytes the toxic one saves over the ordinary one is the window's distance. Toxic documents are mostly
 ordinary text, so two dictionaries trained on all of it would differ by chance more than by kind: each
-dictionary holds what was trained on the words that only its kind uses, and what was trained on ordinary
+dictionary holds what was trained on the words that its kind uses far more often, and what was trained on ordinary
 text, at the same places. A document's largest distances, their means, and the shares of windows above thresholds
 set on ordinary documents are calibrated to a probability on labelled rows no dictionary was trained on.
 
@@ -30,8 +30,9 @@ SAMPLE_BYTES = 32_768
 WINDOW = 40
 # Bytes of the part that both dictionaries share, and of the part of their own.
 SHARED, OWN = 16_384, 6144
-# Share of the documents of a kind that must have a word before it counts as that kind's, and their least number.
-LEAST_SHARE, LEAST_DOCUMENTS = 0.01, 4
+# A word counts as a kind's own from this ratio of document shares on, if as many documents of the kind have it and
+# chance gives such a split once in a thousand words (a chi-square of one degree of freedom).
+LEAST_RATIO, LEAST_DOCUMENTS, LEAST_EVIDENCE = 4, 4, 10.83
 LEVEL = 12
 TOP = 5
 
@@ -96,16 +97,41 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:] or b"\0" * 8
 
 
+def bare(word: bytes) -> bytes:
+    return word.strip(b".,;:!?")
+
+
 def own_words(mine: list[list[bytes]], others: list[list[bytes]]) -> list[bytes]:
-    """Of each document, as a sample to train on, the words that several of `mine` use and none of `others`."""
-    bare = lambda w: w.strip(b".,;:!?")
-    usual = {bare(w) for windows in others for x in windows for w in x.split()}
-    used = Counter(w for windows in mine for w in {bare(w) for x in windows for w in x.split()} - usual)
-    # chance words are in few documents
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * len(mine))
-    kept = {w for w, n in used.items() if n >= least}
-    samples = (b" ".join(bare(w) for x in windows for w in x.split() if bare(w) in kept) for windows in mine)
-    return [b" " + x + b" " for x in samples if x]
+    """The words that documents of `mine` use far more often than those of `others`, those with most evidence last.
+
+    What counts is the ratio of the shares of documents that have a word, and that the difference is no chance. A
+    wrong label or a quotation lowers the ratio of a word a little; no single document removes it.
+    """
+    used, usual = (
+        Counter(w for windows in documents for w in {bare(w) for x in windows for w in x.split()}) for documents in (mine, others)
+    )
+    share = len(mine) / (len(mine) + len(others))
+
+    def evidence(n: int, m: int) -> float:
+        if n < LEAST_DOCUMENTS or (n + 0.5) / (len(mine) + 1) < LEAST_RATIO * (m + 0.5) / (len(others) + 1):
+            return 0.0
+        # twice the logarithm of the likelihood ratio of the word's split against that of the documents
+        total = n + m
+        return 2 * float(n * np.log(n / total / share) + (m and m * np.log(m / total / (1 - share))))
+
+    found = sorted((evidence(n, usual[w]), w) for w, n in used.items() if w)
+    return [w for e, w in found if e >= LEAST_EVIDENCE]
+
+
+def own_part(mine: list[list[bytes]], words: list[bytes]) -> bytes:
+    """What the dictionary of `mine` holds of its own: trained on its own words, and those that training left out."""
+    if not words:
+        return _train([w for windows in mine for w in windows], OWN)
+    known = set(words)
+    samples = (b" ".join(bare(w) for x in windows for w in x.split() if bare(w) in known) for windows in mine)
+    trained = _train([b" " + x + b" " for x in samples if x], OWN)
+    missing = b"".join(b" " + w for w in words if w not in trained)[-OWN // 2 :]
+    return (trained + missing + b" ")[-OWN:]
 
 
 def without_copies(texts: list[str]) -> list[int]:
@@ -151,12 +177,14 @@ class ToxicityModel:
         windows = [windows_of(t) for t in texts]
         part = np.arange(len(y)) % 2 == 0
         kinds = [[windows[k] for k in np.flatnonzero(part & (y == kind))] for kind in (0, 1)]
-        pieces = [[w for d in documents for w in d] for documents in kinds]
-        if not pieces[0] or not pieces[1]:
+        if not any(kinds[0]) or not any(kinds[1]):
             return
+        toxic_words, ordinary_words = own_words(kinds[1], kinds[0]), own_words(kinds[0], kinds[1])
+        # toxic words in ordinary documents (wrong labels, quotations) must not reach what both compress with
+        known = set(toxic_words)
+        plain = [[b" ".join(w for w in x.split(b" ") if bare(w) not in known) for x in d] for d in kinds[0]]
         self.dictionaries = (
-            _train(pieces[0], SHARED), _train(own_words(kinds[1], kinds[0]) or pieces[1], OWN),
-            _train(own_words(kinds[0], kinds[1]) or pieces[0], OWN),
+            _train([x for d in plain for x in d], SHARED), own_part(kinds[1], toxic_words), own_part(plain, ordinary_words),
         )
         machine = Compressors(*self.dictionaries)
         usual = np.concatenate([machine.distances(windows[k]) for k in np.flatnonzero(~part & (y == 0))] or [np.zeros(1)])

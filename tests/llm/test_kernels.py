@@ -262,6 +262,33 @@ def test_windows_keep_every_byte():
     assert b"".join(toxicity.windows_of(text)) == text.encode() and toxicity.windows_of(None) == []
 
 
+def labelled_texts(rng, n, noise):
+    """Ordinary and toxic texts; a toxic one has two of ten words of its own. `noise`: share of wrong labels."""
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstuvw"), 6)) for _ in range(2000)]
+    texts, truth = [], (rng.random(n) < 0.5).astype(int)
+    for kind in truth:
+        text = list(rng.choice(words, 60))
+        for w in rng.choice([f"insult{c}" for c in "abcdefghij"], 2) if kind else ():
+            text[rng.integers(60)] = w
+        texts.append(" ".join(text))
+    return texts, truth, np.where(rng.random(n) < noise, 1 - truth, truth)
+
+
+def test_toxic_words_outlast_wrong_labels():
+    texts, truth, labels = labelled_texts(np.random.default_rng(5), 1600, 0.05)
+    model = toxicity.ToxicityModel(texts[:1200], labels[:1200].tolist(), labels[:1200].mean())
+    flagged = model.score(texts[1200:]) >= 0.5
+    assert flagged[truth[1200:] == 1].mean() > 0.85 and flagged[truth[1200:] == 0].mean() < 0.05
+
+
+def test_own_words_by_ratio_and_evidence():
+    plain = [[b"usual words"]] * 1480
+    # in 0.8 % of one kind and once in the other; as often in both; too few to tell
+    mine = plain + [[b"rare usual"]] * 12 + [[b"even"]] * 4 + [[b"chance"]] * 4
+    others = plain + [[b"rare"]] + [[b"even"]] * 4
+    assert toxicity.own_words(mine, others) == [b"rare"]
+
+
 def test_models_without_labels():
     assert toxicity.ToxicityModel([], [], 0.0).score(["a", None]).tolist() == [0.0, 0.0]
     assert toxicity.ToxicityModel(["a b"], [1], 1.0).score([""]).tolist() == [1.0]
