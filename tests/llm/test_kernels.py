@@ -153,6 +153,47 @@ def test_headers_of_article_and_page():
     assert htmltext.main_text(htmltext.page_lines(page)) == "T\nText"
 
 
+STORY = "<h1>Title</h1><p>First</p><div class='share-buttons'>Share</div><p>Last one</p>"
+
+
+@pytest.mark.parametrize("open_tag, close_tag", [
+    ("<form id=aspnetForm>", "</form>"), ('<div class="content has-sidebar">', "</div>"), ('<div class="page-header-layout">', "</div>"),
+    ('<div class="elementor-widget-container">', "</div>"), ('<div id="sidebar"><div class="widget">', "</div></div>"),
+    ('<div class="social"><form><div class="header">', "</div></form></div>"), ("<nav><a>Home</a>", ""), ("<header>", "</header>"),
+])
+@pytest.mark.parametrize("mark", ["article", "main"])
+def test_wrappers_hide_no_article(open_tag, close_tag, mark):
+    page = f"<body>{open_tag}<nav>Menu</nav><{mark}>{STORY}</{mark}><footer>End</footer>{close_tag}<p>x</p></body>"
+    assert htmltext.main_text(htmltext.page_lines(page)) == "Title\nFirst\nLast one"
+
+
+@pytest.mark.parametrize("open_tag, close_tag", [
+    ("<form id=aspnetForm>", "</form>"), ('<div class="content has-sidebar">', "</div>"), ('<div class="page-header-layout">', "</div>"),
+    ('<div class="elementor-widget-container">', "</div>"),
+])
+def test_wrappers_hide_no_unmarked_page(open_tag, close_tag):
+    page = f"<body>{open_tag}<nav>Menu</nav>{STORY}<footer>End</footer>{close_tag}<p>x</p></body>"
+    assert htmltext.main_text(htmltext.page_lines(page)) == "Title\nFirst\nLast one\nx"
+
+
+def test_article_cards_in_furniture_stay_hidden():
+    cards = "<article><p>Other story</p></article>"
+    page = (
+        "<main><article><p>A long enough story</p><div id='comments'><article class='comment-body' id='div-comment-1'>Me too</article></div></article></main>"
+        f"<aside>{cards}</aside><div class='related-posts'>{cards}</div>"
+    )
+    assert htmltext.main_text(htmltext.page_lines(page)) == "A long enough story"
+    page = f"<div><p>A long enough story</p></div><aside>{cards}</aside>"
+    assert htmltext.main_text(htmltext.page_lines(page)) == "A long enough story"
+
+
+@pytest.mark.parametrize("page", [
+    "<article><form><p>Only</p></form></article><p>x</p>", "<div class='widget'><p>Only</p></div>", "<div class='sidebar'><form>Only</form></div>",
+])
+def test_hiding_that_leaves_nothing_is_undone(page):
+    assert htmltext.main_text(htmltext.page_lines(page)) == "Only"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "a < b", "<!-- x", "<script>", '<p class="x>y', "</div>", "&#0;&bogus;"])
 def test_broken_pages_do_not_fail(page):
     htmltext.main_text(htmltext.page_lines(page))
