@@ -134,16 +134,17 @@ def own_part(mine: list[list[bytes]], words: list[bytes]) -> bytes:
     return (trained + missing + b" ")[-OWN:]
 
 
-def without_copies(texts: list[str]) -> list[int]:
-    """Places of the texts that are no near copies of earlier ones: groups of copies would pass for a kind's language."""
-    seen: set[int] = set()
+def without_copies(texts: list[str], kinds: list[int]) -> list[int]:
+    """Places of the texts that are no near copies of earlier ones of their kind: groups of copies would pass for a kind's
+    language. A text with a near copy of the other kind stays: what tells the two apart is what is to be learned."""
+    seen: dict[int, set[int]] = {kind: set() for kind in kinds}
     kept = []
-    for k, text in enumerate(texts):
+    for k, (text, kind) in enumerate(zip(texts, kinds)):
         words = text.split()
         runs = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(len(words) - 2, 1))}
-        if len(runs & seen) <= len(runs) // 2:
+        if len(runs & seen[kind]) <= len(runs) // 2:
             kept.append(k)
-        seen |= runs
+        seen[kind] |= runs
     return kept
 
 
@@ -170,7 +171,7 @@ class ToxicityModel:
     def __init__(self, texts: list[str], toxic: list[int], share: float):
         """`share` of all labelled rows is toxic; the texts are balanced and get weights to match."""
         self.share, self.weights = share, None
-        single = without_copies(texts)
+        single = without_copies(texts, toxic)
         texts, y = [texts[k] for k in single], np.array([toxic[k] for k in single])
         if not len(y) or y.min() == y.max():
             return

@@ -322,6 +322,17 @@ def test_toxic_words_outlast_wrong_labels():
     assert flagged[truth[1200:] == 1].mean() > 0.85 and flagged[truth[1200:] == 0].mean() < 0.05
 
 
+def test_near_copies_of_the_other_kind_are_learned():
+    texts, truth, _ = labelled_texts(np.random.default_rng(6), 800, 0)
+    plain = [t for t, y in zip(texts, truth) if not y]
+    rude = [" ".join([*t.split()[:30], "moron", *t.split()[30:50], "scum", *t.split()[50:]]) for t in plain]
+    n = len(plain) - 50
+    learned, labels = plain[:n] + rude[:n] + rude[:20], [0] * n + [1] * (n + 20)
+    assert toxicity.without_copies(learned, labels) == list(range(2 * n))
+    model = toxicity.ToxicityModel(learned, labels, 0.5)
+    assert (model.score(rude[n:]) > 0.5).mean() > 0.9 and (model.score(plain[n:]) < 0.5).mean() > 0.9
+
+
 def test_own_words_by_ratio_and_evidence():
     plain = [[b"usual words"]] * 1480
     # in 0.8 % of one kind and once in the other; as often in both; too few to tell
