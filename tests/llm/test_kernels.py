@@ -206,6 +206,14 @@ def test_unmarked_page_loses_what_its_neighbour_shares():
     assert htmltext.main_text(a, [0, 1, 2]) == "Site\nOwn text\nContact"
 
 
+def test_near_copy_as_neighbour_deletes_no_passage():
+    story = [f"Passage {k} " + "of the story " * 10 for k in range(4)]
+    a = [(t.strip(), False) for t in ("Site", *story, "Contact")]
+    assert htmltext.main_text(a, [0, 1, 2, 4, 5]) == "\n".join(t.strip() for t in story)
+    # one passage in common is the site's, if most of the text is the page's own
+    assert htmltext.main_text(a, [0, 4, 5]) == "\n".join(t.strip() for t in story[:3])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_common_lines_are_a_longest_common_subsequence(a, b):
