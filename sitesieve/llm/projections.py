@@ -1,4 +1,4 @@
-"""Near duplicates among embeddings by collision counting over sorted one-dimensional projections.
+"""Near duplicates among embeddings by collision counting over one-dimensional projections, of which one is sorted.
 
 Each vector is projected on many random directions. Two vectors collide in a projection if one lies in the
 window centred on the other; pairs that collide often enough are verified by their cosine. For a pair
