@@ -266,14 +266,13 @@ def vocabulary(s, d):
 
 def token_windows(s, d):
     docs = I.documents(s, d)
-    encode = tokens.token_encoder(tokens.fit_vocabulary(docs, "text"))
-    return _window_sums(tokens.with_windows(docs, encode, "text"))
+    return _window_sums(tokens.with_windows(docs, tokens.fit_vocabulary(docs, "text"), "doc_id", "text"))
 
 
 def token_windows_joined(s, d):
     """The way of a vocabulary that is too large for a broadcast."""
     docs = I.documents(s, d)
-    return _window_sums(tokens.with_joined_windows(docs, tokens.fit_vocabulary(docs, "text"), "doc_id", "text"))
+    return _window_sums(tokens.with_windows(docs, tokens.fit_vocabulary(docs, "text"), "doc_id", "text", limit=0))
 
 
 def _window_sums(pages):

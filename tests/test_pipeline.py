@@ -281,7 +281,7 @@ def test_gram_files_and_window_tables(spark, tmp_path):
     assert got == {"the": 23135851162.0, '"quoted': 5.0, "of the": 2.5}
     pages = spark.createDataFrame([("a", "train", "x y"), ("b", "val", "y " * 30)], "visit_id string, split string, text string")
     vocabulary = tokens.fit_vocabulary(pages, "text")
-    rows = tokens.window_rows(tokens.with_windows(pages, tokens.token_encoder(vocabulary), "text", 8))
+    rows = tokens.window_rows(tokens.with_windows(pages, vocabulary, "visit_id", "text", 8))
     path = str(tmp_path / "windows")
     files.write_windows(rows, path)
     files.write_windows(rows, path, append=True)
