@@ -10,6 +10,8 @@ from .base import held_out, table
 from .dartminhash import near_duplicates
 from .decontaminate import contamination
 from .htmltext import extract_pages
+from .mixing import mix_plan
+from .periodic import find_runs, words_of
 from .pieces import recode
 from .projections import near_vectors
 from .quality import fit_quality, quality
@@ -88,10 +90,43 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_planted_repeats(words, doc_id):
+    """In one of ten documents, by the checksum of the id, the words from some place on repeat a first few of them."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, n = F.floor(h / 10).cast("long"), F.size(words).cast("long")
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
+    source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    planted = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, source(i).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), planted).otherwise(words)
+
+
+def op11_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", words_of(F.col("text")).alias("words"))
+    found = docs.select("doc_id", find_runs(with_planted_repeats(F.col("words"), F.col("doc_id"))).alias("r"))
+    runs, smallest = F.col("r.runs"), F.array_sort(
+        F.transform("r.runs", lambda r: F.struct((-r.length).alias("longest"), r.start.alias("start"), r.period.alias("period")))
+    )
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    best = F.get(F.col("sorted"), F.lit(0))
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), smallest.alias("sorted"), lines.alias("lines"), "r.collapsed"
+    ).select(
+        "doc_id", "n_runs", best.start.alias("start"), (-best.longest).alias("length"), best.period.alias("period"),
+        F.floor(-best.longest * 1000 / best.period).cast("long").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mix_plan(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_pieces, op2_projections, op3_secrets, op4_quality, op5_decontaminate, op6_html, op7_token_ids,
-        op8_dartminhash, op9_toxicity, op10_warc,
+        op8_dartminhash, op9_toxicity, op10_warc, op11_periodic, op12_mixing,
     )
 }
-ORACLE = {"op5_decontaminate": sql.DECONTAMINATE}
+ORACLE = {"op5_decontaminate": sql.DECONTAMINATE, "op12_mixing": sql.MIXING}

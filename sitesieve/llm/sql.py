@@ -35,3 +35,34 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_hit AS BIGINT) AS n_hi
   CAST(n_items AS BIGINT) AS n_items, sha256(ids) AS items_sha256, contaminated
 FROM judged
 """
+
+# Sources in the order of limit over weight: the first ones, as long as their share is above, are at their limit.
+MIXING = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(concat_ws(':', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 13) AS BIGINT)
+      / 4503599627370496.0::DOUBLE AS draw
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM docs GROUP BY source),
+behind AS (
+  SELECT *, 3 * source_size AS most, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER earlier, 0) AS words,
+    sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS weights
+  FROM sources WINDOW earlier AS (
+    ORDER BY 3 * source_size * (6 // weight), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, words * weight > most * weights AS above FROM behind),
+level AS (
+  SELECT sum(source_size) - coalesce(sum(most) FILTER (WHERE above), 0) AS words,
+    sum(weight) - coalesce(sum(weight) FILTER (WHERE above), 0) AS weights FROM judged),
+targets AS (
+  SELECT source, source_size, CASE WHEN above THEN most::DOUBLE
+    ELSE (level.words * weight)::DOUBLE / level.weights::DOUBLE END AS target
+  FROM judged, level),
+rated AS (
+  SELECT docs.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate
+  FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM rated
+"""
