@@ -15,6 +15,7 @@ from .periodic import find_runs, words_of
 from .pieces import recode
 from .projections import near_vectors
 from .quality import fit_quality, quality
+from .repair import Repair
 from .secrets import BlobLedger, scan_documents
 from .tokenids import read_token_files, write_token_files
 from .toxicity import fit_toxicity, toxicity
@@ -123,10 +124,28 @@ def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Faults by the checksum of conversation and turn; dropped rows are marked. Nulls of role and text become one space."""
+    space = F.lit(" ")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), space)
+    fault = F.crc32(F.concat_ws(":", part("conv_id"), part("turn")).cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"), text.alias("text"),
+        (fault == 0).alias("dropped"), F.explode(copies).alias("copy"),
+    ).drop("copy")
+
+
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return Repair(damaged(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))).report()
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_pieces, op2_projections, op3_secrets, op4_quality, op5_decontaminate, op6_html, op7_token_ids,
-        op8_dartminhash, op9_toxicity, op10_warc, op11_periodic, op12_mixing,
+        op8_dartminhash, op9_toxicity, op10_warc, op11_periodic, op12_mixing, op13_repair,
     )
 }
-ORACLE = {"op5_decontaminate": sql.DECONTAMINATE, "op12_mixing": sql.MIXING}
+ORACLE = {"op5_decontaminate": sql.DECONTAMINATE, "op12_mixing": sql.MIXING, "op13_repair": sql.REPAIR}

@@ -66,3 +66,66 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rated
 """
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(%s, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]),
+    lambda c, k: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295::BIGINT)"""
+
+# Places: 0 nothing yet, 1 after system, 2 after user, 3 after assistant. The least (cost, audit) of every place is
+# carried from row to row; before each row and at the end up to two rows are inserted.
+REPAIR = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC32 % "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"} % 20 AS fault
+  FROM conversations),
+ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM (SELECT DISTINCT conv_id FROM keyed)),
+after_damage AS (
+  SELECT ids.c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM keyed JOIN ids ON keyed.conv_id IS NOT DISTINCT FROM ids.conv_id WHERE fault <> 0),
+placed AS (
+  SELECT c, turn, role, text, left(role, 1) AS letter, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS again
+  FROM after_damage),
+faulty AS (
+  SELECT *, CASE WHEN shown = '' THEN 1 WHEN again > 1 THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(letter) OVER (PARTITION BY c ORDER BY i) AS before
+  FROM placed),
+counts AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+    count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY c),
+inserts(place, later, cost, letters, made) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+    (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']),
+    (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:']), (3, 3, 4, 'II', ['user:', 'assistant:'])),
+edits AS (
+  SELECT c, i, p AS place, e.edit, e.later, e.cost, e.made
+  FROM faulty, (VALUES (0), (1), (2), (3)) places(p), unnest([
+    {{'edit': 'D', 'later': p, 'cost': 3, 'made': []::VARCHAR[]}},
+    CASE WHEN fault IN (0, 3) THEN {{'edit': 'R', 'later': CASE p WHEN 2 THEN 3 ELSE 2 END, 'cost': CASE fault WHEN 3 THEN 3 ELSE 2 END,
+      'made': [CASE p WHEN 2 THEN 'assistant:' ELSE 'user:' END || text]}} END,
+    CASE WHEN fault IN (0, 3) AND ((p = 0 AND letter = 's') OR (p <> 2 AND letter = 'u') OR (p = 2 AND letter = 'a'))
+      THEN {{'edit': 'K', 'later': CASE letter WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'cost': CASE fault WHEN 3 THEN 1 ELSE 0 END,
+      'made': [role || ':' || text]}} END]) AS choices(e)
+  WHERE e IS NOT NULL),
+ways AS (
+  SELECT c, 0::BIGINT AS i, 0 AS place, {{'cost': 0, 'audit': '', 'made': []::VARCHAR[]}} AS best FROM ids
+  UNION ALL
+  SELECT w.c, w.i + 1, e.later, min({{'cost': w.best.cost + n.cost + e.cost, 'audit': w.best.audit || n.letters || e.edit,
+    'made': list_concat(list_concat(w.best.made, n.made), e.made)}})
+  FROM ways w JOIN inserts n ON n.place = w.place JOIN edits e ON e.c = w.c AND e.i = w.i + 1 AND e.place = n.later
+  GROUP BY w.c, w.i, e.later),
+ends AS (
+  SELECT w.c, min({{'cost': w.best.cost + n.cost, 'audit': w.best.audit || n.letters, 'made': list_concat(w.best.made, n.made)}}) AS best
+  FROM ways w LEFT JOIN counts USING (c) JOIN inserts n ON n.place = w.place AND n.later IN (0, 3)
+  WHERE w.i = coalesce(counts.n, 0) GROUP BY w.c)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit,
+  sha256(array_to_string(best.made, chr(10))) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (c) JOIN ends USING (c)
+"""
