@@ -263,7 +263,7 @@ def symbols_of(roles: list[str], faults: np.ndarray) -> np.ndarray:
     return np.where((faults == BLANK) | (faults == DUPLICATE), GONE, out)
 
 
-def packed(judged: DataFrame) -> DataFrame:
+def packed(judged: DataFrame, piece_rows: int = PIECE_ROWS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Pieces of the sorted conversations, as a written table; dropped rows leave no more than their conversation."""
     # the number of the row parts equal rows, and its first one comes first
     order = ["conv_id", "turn", "role", "text", "row"]
@@ -309,7 +309,7 @@ def packed(judged: DataFrame) -> DataFrame:
                 yield pieces(table.slice(0, bounds[-1]), bounds, [not cut] + [True] * (len(bounds) - 2))
                 cut = False
             carried = table.slice(bounds[-1])
-            if carried.num_rows >= PIECE_ROWS or carried.nbytes >= PIECE_BYTES:
+            if carried.num_rows >= piece_rows or carried.nbytes >= piece_bytes:
                 yield pieces(carried, [0, carried.num_rows], [False])
                 carried, cut = None, True
         if carried is not None:
@@ -509,10 +509,10 @@ def _digests(repaired: DataFrame) -> DataFrame:
 class Repair:
     """Repaired conversations of `rows` (conv_id, turn, role, text, and optionally `dropped`)."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, piece_rows: int = PIECE_ROWS):
         if "dropped" not in rows.columns:
             rows = rows.select("conv_id", "turn", "role", "text").withColumn("dropped", F.lit(False))
-        pieces = packed(judged_rows(rows))
+        pieces = packed(judged_rows(rows), piece_rows)
         self.whole = _repair_whole(pieces.filter("whole"))
         parts = pieces.filter(~F.col("whole"))
         self.folded = cut_lineage(_folded(_effects(parts)))

@@ -86,11 +86,10 @@ after_damage AS (
   FROM keyed JOIN ids ON keyed.conv_id IS NOT DISTINCT FROM ids.conv_id WHERE fault <> 0),
 placed AS (
   SELECT c, turn, role, text, left(role, 1) AS letter, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
-    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
-    row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS again
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i
   FROM after_damage),
 faulty AS (
-  SELECT *, CASE WHEN shown = '' THEN 1 WHEN again > 1 THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  SELECT *, CASE WHEN shown = '' THEN 1 WHEN i > min(i) OVER (PARTITION BY c, role, text) THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
     lag(letter) OVER (PARTITION BY c ORDER BY i) AS before
   FROM placed),
 counts AS (
