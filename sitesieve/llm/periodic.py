@@ -34,6 +34,8 @@ SHORTEST = 12
 SHORT_LAGS = 15
 # A part that lost less than one word in so many is scanned as it is.
 PAYS = 64
+# Words of whole rows that are split together, about; they bound the memory of a task beside its batch.
+WORDS_AT_ONCE = 1 << 19
 # Comparisons held in memory at a time.
 CELLS = 1 << 22
 
@@ -178,20 +180,24 @@ def find_runs(words: Column, shortest: int = SHORTEST) -> Column:
     """Of a list of words: its `runs` (start, length, period) by start, then period, and `collapsed`, the words
     that no run holds after its first period, joined by one space."""
 
+    def results(lists: pa.ListArray) -> pa.StructArray:
+        rows, runs, collapsed = runs_of_lists(lists, shortest)
+        counts = np.bincount(rows, minlength=len(lists)) if len(rows) else np.zeros(len(lists), np.int64)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        table = np.array(runs, np.int64).reshape(-1, 3)
+        entries = pa.StructArray.from_arrays([pa.array(table[:, k]) for k in range(3)], names=["start", "length", "period"])
+        nested = pa.ListArray.from_arrays(pa.array(offsets), entries)
+        return pa.StructArray.from_arrays([nested, collapsed], names=["runs", "collapsed"])
+
     @F.arrow_udf(RESULT)
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             if isinstance(lists, pa.ChunkedArray):
                 lists = lists.combine_chunks()
-            rows, runs, collapsed = runs_of_lists(lists, shortest)
-            counts = np.bincount(rows, minlength=len(lists)) if len(rows) else np.zeros(len(lists), np.int64)
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            table = np.array(runs, np.int64).reshape(-1, 3)
-            entries = pa.StructArray.from_arrays(
-                [pa.array(table[:, k]) for k in range(3)], names=["start", "length", "period"]
-            )
-            nested = pa.ListArray.from_arrays(pa.array(offsets), entries)
-            yield pa.StructArray.from_arrays([nested, collapsed], names=["runs", "collapsed"])
+            seen = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            share = seen // WORDS_AT_ONCE
+            bounds = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), len(lists)]
+            yield pa.concat_arrays([results(lists.slice(a, b - a)) for a, b in zip(bounds, bounds[1:])])
 
     return column(words)
 
