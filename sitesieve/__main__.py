@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesieve.operators import binary, confusion, ensemble, multiclass, prcurve, ranking, visits
+from sitesieve.operators.subwords import read_subwords
 from sitesieve.operators.votes import require_aligned
 from sitesieve.plans import classifier as C
 from sitesieve.plans import datasets
@@ -46,7 +47,7 @@ def _parser() -> argparse.ArgumentParser:
         "preprocess-train", "in_x", "in_y", "out", grams={"required": True},
         split={"type": float, "default": VALIDATION_FRACTION},
         components={"type": int, "default": HOST_COMPONENTS}, positional={"action": "store_true"},
-        gram_total={"type": float, "default": None},
+        gram_total={"type": float, "default": None}, subwords={"default": None},
     )
     command("preprocess-predict", "in_x", "model", "out")
     command(
@@ -129,6 +130,8 @@ def _preprocess_train(spark: SparkSession, args: argparse.Namespace) -> None:
         rows = cut_lineage(visits.with_row_ids(rows))
     grams = files.read_grams(spark, args.grams)
     options = {} if args.gram_total is None else {"gram_total": args.gram_total}
+    if args.subwords:
+        options["subwords"] = read_subwords(spark, args.subwords)
     inputs, preparation = datasets.prepare_training(
         rows, grams, "row_id", fraction=args.split, components=args.components, **options
     )

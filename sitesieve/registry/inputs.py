@@ -12,6 +12,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+# A published byte-pair vocabulary; it is read where it is installed.
+SUBWORDS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """`doc_id, text` over all cores, for the jobs that take texts apart."""
     return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")

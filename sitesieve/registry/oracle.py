@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .inputs import SUBWORDS
+
 _VIEWS = {
     "html_features": """SELECT cast(d.doc_id AS varchar) visit_id,
         concat('site', cast(d.doc_id AS varchar), '.', d.lang) domain_name, d.text body_text,
@@ -146,6 +148,39 @@ vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 token_
           FROM counted)
 """
 
+# Every distinct word is merged step by step: of its pairs of pieces the one of least rank, the first of equal ones.
+_SUBWORDS = r"""WITH RECURSIVE ranks AS (
+  SELECT rank + 4 id, hex(from_base64(piece64)) piece FROM read_csv('""" + SUBWORDS + r"""', delim = ' ', quote = '', escape = '',
+    header = false, columns = {'piece64': 'VARCHAR', 'rank': 'BIGINT'})),
+cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
+  ' ?\p{L}+| ?\p{N}+| ?[^ \t\n\x0B\f\r\p{L}\p{N}]+|[ \t\n\x0B\f\r]+') w FROM documents),
+placed AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) pos FROM cut),
+merging AS (
+  SELECT word, regexp_extract_all(hex(encode(word)), '..') parts FROM (SELECT DISTINCT word FROM placed)
+  UNION ALL
+  SELECT word, list_concat(list_concat(list_slice(parts, 1, i - 1), [parts[i] || parts[i + 1]]), list_slice(parts, i + 2, len(parts)))
+  FROM (
+    SELECT word, any_value(parts) parts, arg_min(i, {'rank': r.id, 'i': i}) i FROM (
+      SELECT word, parts, i, parts[i] || parts[i + 1] piece
+      FROM (SELECT word, parts, unnest(range(1, len(parts))) i FROM merging) x) p
+    JOIN ranks r USING (piece) GROUP BY word) q),
+spelled AS (SELECT word, arg_min(parts, len(parts)) parts FROM merging GROUP BY word)
+"""
+
+# Windows and their sums, from `toks` (doc_id, w) and `ids` (doc_id, pos, n, id).
+_WINDOW_SUMS = """sizes AS (SELECT doc_id, len(w) n FROM toks),
+        wins AS (SELECT doc_id, n, 0 window_no, 0 skip FROM sizes
+                 UNION ALL SELECT doc_id, n, 1, n - 510 FROM sizes WHERE n > 510),
+        body AS (SELECT w.doc_id, w.window_no, i.id, i.pos - w.skip + 1 place
+                 FROM wins w JOIN ids i ON i.doc_id = w.doc_id AND i.pos - w.skip BETWEEN 1 AND 510),
+        summed AS (SELECT doc_id, window_no, sum(id * place) s, max(CASE WHEN place = 2 THEN id END) second_id
+                   FROM body GROUP BY 1, 2),
+        ends AS (SELECT *, least(n, 510) + 2 n_visible FROM wins)
+        SELECT e.doc_id, CAST(e.window_no AS bigint) window_no, CAST(n_visible AS bigint) n_visible,
+          CAST(512 AS bigint) width, CAST(coalesce(s.second_id, 2) AS bigint) second_id,
+          CAST(coalesce(s.s, 0) + 2 * n_visible + (512 * 513 - n_visible * (n_visible + 1)) // 2 AS bigint) checksum
+        FROM ends e LEFT JOIN summed s USING (doc_id, window_no)"""
+
 _REQUEST_ROWS = r"""WITH hosts AS (SELECT page_id // 25 job, page_id, html, url,
   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1) host FROM pages),
 rows AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY page_id) - 1 pos FROM hosts),
@@ -284,19 +319,7 @@ ORACLE: dict[str, str] = {
           array_to_string(w[chunk_no*100+1 : chunk_no*100+100], ' ') chunk FROM c""",
     "vocabulary": _VOCABULARY + "SELECT token, n, token_id FROM vocab",
     "token_windows": _VOCABULARY + """, ids AS (SELECT f.doc_id, f.pos, f.n, coalesce(v.token_id, 3) id
-          FROM flat f LEFT JOIN vocab v USING (token)),
-        sizes AS (SELECT doc_id, len(w) n FROM toks),
-        wins AS (SELECT doc_id, n, 0 window_no, 0 skip FROM sizes
-                 UNION ALL SELECT doc_id, n, 1, n - 510 FROM sizes WHERE n > 510),
-        body AS (SELECT w.doc_id, w.window_no, i.id, i.pos - w.skip + 1 place
-                 FROM wins w JOIN ids i ON i.doc_id = w.doc_id AND i.pos - w.skip BETWEEN 1 AND 510),
-        summed AS (SELECT doc_id, window_no, sum(id * place) s, max(CASE WHEN place = 2 THEN id END) second_id
-                   FROM body GROUP BY 1, 2),
-        ends AS (SELECT *, least(n, 510) + 2 n_visible FROM wins)
-        SELECT e.doc_id, CAST(e.window_no AS bigint) window_no, CAST(n_visible AS bigint) n_visible,
-          CAST(512 AS bigint) width, CAST(coalesce(s.second_id, 2) AS bigint) second_id,
-          CAST(coalesce(s.s, 0) + 2 * n_visible + (512 * 513 - n_visible * (n_visible + 1)) // 2 AS bigint) checksum
-        FROM ends e LEFT JOIN summed s USING (doc_id, window_no)""",
+          FROM flat f LEFT JOIN vocab v USING (token)), """ + _WINDOW_SUMS,
     "gram_counts": """WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') w FROM documents),
         g AS (SELECT unnest(w) gram FROM w UNION ALL
               SELECT unnest([concat(w[i], ' ', w[i + 1]) for i in range(1, len(w))]) FROM w)
@@ -343,3 +366,11 @@ ORACLE: dict[str, str] = {
         FROM good GROUP BY job_id""",
 }
 ORACLE["token_windows_joined"] = ORACLE["token_windows"]
+ORACLE["subword_vocabulary"] = _SUBWORDS + """SELECT r.id token_id, r.piece, count(*) n
+    FROM (SELECT unnest(parts) piece FROM placed JOIN spelled USING (word)) u JOIN ranks r USING (piece) GROUP BY 1, 2"""
+ORACLE["subword_windows"] = _SUBWORDS.rstrip() + """,
+toks AS (SELECT c.doc_id, coalesce(x.w, []) w FROM cut c LEFT JOIN (
+  SELECT doc_id, flatten(list(parts ORDER BY pos)) w FROM placed JOIN spelled USING (word) GROUP BY doc_id) x USING (doc_id)),
+ids AS (SELECT doc_id, pos, n, id FROM (
+  SELECT doc_id, unnest(w) piece, generate_subscripts(w, 1) pos, len(w) n FROM toks) JOIN ranks USING (piece)),
+""" + _WINDOW_SUMS

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import binary, confusion, ensemble, hosts, multiclass, numeric, prcurve, ranking
-from ..operators import scoring, segment, split, tokens, visits
+from ..operators import scoring, segment, split, subwords, tokens, visits
 from ..operators import votes as V
 from ..plans import classifier as C
 from ..plans import datasets, rounds
@@ -275,6 +275,17 @@ def token_windows_joined(s, d):
     return _window_sums(tokens.with_windows(docs, tokens.fit_vocabulary(docs, "text"), "doc_id", "text", limit=0))
 
 
+def subword_windows(s, d):
+    """Windows of a fixed subword vocabulary: no unknown tokens, and no branch by the vocabulary's size."""
+    return _window_sums(subwords.SubwordWindows(subwords.read_subwords(s, I.SUBWORDS)).add(I.documents(s, d), "doc_id", "text"))
+
+
+def subword_vocabulary(s, d):
+    """How often the texts use each piece."""
+    counts = subwords.count_subwords(I.documents(s, d), subwords.read_subwords(s, I.SUBWORDS))
+    return counts.select(F.col("token_id").cast("bigint").alias("token_id"), F.hex("piece").alias("piece"), "n")
+
+
 def _window_sums(pages):
     rows = tokens.window_rows(pages)
     ids, zero = F.col("input_ids"), F.lit(0).cast("bigint")
@@ -444,7 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         confusion_matrix, confusion_binary, label_distribution, combine_predictions,
         combine_majority_only, combine_decisions, rank_uncertain, top_uncertain,
         recombine_windows, binary_decisions, domain_strip, hosts_join, count_tag, model_text,
-        text_chunks, vocabulary, token_windows, token_windows_joined, gram_counts, segment_domains, numeric_state,
+        text_chunks, vocabulary, token_windows, token_windows_joined, subword_windows, subword_vocabulary, gram_counts, segment_domains, numeric_state,
         impute_scale, tfidf, host_idf, host_svd, stratified_split, label_index, fit_predict,
         model_info, self_distill, active_round, explode_requests, rejected_requests,
         fold_responses, score_stream,
