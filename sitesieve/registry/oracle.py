@@ -374,3 +374,25 @@ toks AS (SELECT c.doc_id, coalesce(x.w, []) w FROM cut c LEFT JOIN (
 ids AS (SELECT doc_id, pos, n, id FROM (
   SELECT doc_id, unnest(w) piece, generate_subscripts(w, 1) pos, len(w) n FROM toks) JOIN ranks USING (piece)),
 """ + _WINDOW_SUMS
+
+# The best way to each word of a name, by its place, its start and the number of words before it.
+ORACLE["segment_domains"] = r"""WITH RECURSIVE grams AS (""" + ORACLE["gram_counts"] + r"""),
+total AS (SELECT sum(n) t FROM grams WHERE instr(gram, ' ') = 0),
+hosts AS (SELECT DISTINCT coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), '') domain_name FROM pages),
+names AS (SELECT domain_name, regexp_replace(lower(regexp_replace(domain_name, '\.[^.]*$', '')), '[^a-z0-9]', '', 'g') clean FROM hosts),
+spans AS (SELECT clean, i, j, substr(clean, i + 1, j - i) word FROM (
+  SELECT clean, i, unnest(range(i + 1, least(i + 24, length(clean)) + 1)) j FROM (
+    SELECT clean, unnest(range(0, length(clean))) i FROM (SELECT DISTINCT clean FROM names) a) b) c),
+alone AS (SELECT spans.*, n, log10(coalesce(n / t, 10.0::DOUBLE / (t * 10.0::DOUBLE ** length(word)))) score
+  FROM spans LEFT JOIN grams ON gram = word, total),
+ways AS (
+  SELECT clean, j, word, n, {'score': score, 'words': [word]} best FROM alone WHERE i = 0
+  UNION ALL
+  SELECT clean, j, word, any_value(n), max({'score': s, 'words': words}) FROM (
+    SELECT a.clean, a.j, a.word, a.n, list_append(w.best.words, a.word) words,
+      w.best.score + CASE WHEN w.n IS NOT NULL AND g.n IS NOT NULL THEN log10(g.n / t / (w.n / t)) ELSE a.score END s
+    FROM ways w JOIN alone a ON a.clean = w.clean AND a.i = w.j LEFT JOIN grams g ON g.gram = w.word || ' ' || a.word, total) x
+  GROUP BY clean, j, word, length(array_to_string(words[:-2], '')))
+SELECT domain_name, coalesce(array_to_string(best.words, ' '), '') domain_segmented FROM names LEFT JOIN (
+  SELECT clean, max(best) best FROM ways WHERE j = length(clean) GROUP BY clean) b USING (clean)"""
+ORACLE["segment_domains_filtered"] = ORACLE["segment_domains_lists"] = ORACLE["segment_domains"]

@@ -303,11 +303,23 @@ def gram_counts(s, d):
     return tokens.count_grams(I.documents(s, d), "text")
 
 
+def _grams(s, d):
+    grams = cut_lineage(tokens.count_grams(I.documents(s, d), "text"))
+    return grams, grams.filter(F.instr("gram", " ") == 0).agg(F.sum("n").alias("n")).first()["n"]
+
+
 def segment_domains(s, d):
-    grams = tokens.count_grams(I.documents(s, d), "text")
-    grams = cut_lineage(grams)
-    total = grams.filter(F.instr("gram", " ") == 0).agg(F.sum("n").alias("n")).first()["n"]
-    return segment.segment_domains(I.hosts_of_pages(s, d), grams, total)
+    return segment.segment_domains(I.hosts_of_pages(s, d), *_grams(s, d))
+
+
+def segment_domains_filtered(s, d):
+    """The way of a gram table that is too large for a broadcast: its filter first."""
+    return segment.segment_domains(I.hosts_of_pages(s, d), *_grams(s, d), broadcast_grams=0)
+
+
+def segment_domains_lists(s, d):
+    """The way of names that need more grams than a broadcast may hold."""
+    return segment.segment_domains(I.hosts_of_pages(s, d), *_grams(s, d), broadcast_grams=0, broadcast_found=0)
 
 
 # --- features ---------------------------------------------------------------
@@ -455,7 +467,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         confusion_matrix, confusion_binary, label_distribution, combine_predictions,
         combine_majority_only, combine_decisions, rank_uncertain, top_uncertain,
         recombine_windows, binary_decisions, domain_strip, hosts_join, count_tag, model_text,
-        text_chunks, vocabulary, token_windows, token_windows_joined, subword_windows, subword_vocabulary, gram_counts, segment_domains, numeric_state,
+        text_chunks, vocabulary, token_windows, token_windows_joined, subword_windows, subword_vocabulary, gram_counts, segment_domains,
+        segment_domains_filtered, segment_domains_lists, numeric_state,
         impute_scale, tfidf, host_idf, host_svd, stratified_split, label_index, fit_predict,
         model_info, self_distill, active_round, explode_requests, rejected_requests,
         fold_responses, score_stream,

@@ -7,6 +7,7 @@ import json
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.gramfilter import fit_bits
 from ..plans.classifier import PageClassifier
 from ..plans.datasets import Preparation
 from ..plans.features import FeatureState
@@ -30,6 +31,7 @@ def save_bundle(
     }
     _write(preparation.vocabulary, f"{path}/vocabulary")
     _write(preparation.grams, f"{path}/grams")
+    _write(fit_bits(preparation.grams), f"{path}/gram_filter")
     if features.terms is not None:
         _write(features.terms, f"{path}/terms")
     if classifier is not None:
@@ -51,6 +53,7 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Preparation, PageClassi
         spark.read.parquet(f"{path}/grams"),
         meta["gram_total"],
         meta["window_size"],
+        spark.read.parquet(f"{path}/gram_filter"),
     )
     stored = meta.get("classifier")
     if stored is None:
