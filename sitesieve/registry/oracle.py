@@ -396,3 +396,6 @@ ways AS (
 SELECT domain_name, coalesce(array_to_string(best.words, ' '), '') domain_segmented FROM names LEFT JOIN (
   SELECT clean, max(best) best FROM ways WHERE j = length(clean) GROUP BY clean) b USING (clean)"""
 ORACLE["segment_domains_filtered"] = ORACLE["segment_domains_lists"] = ORACLE["segment_domains"]
+
+ORACLE["stream_responses"] = "SELECT job_id, 'done' status, 0 part, response FROM (" + ORACLE["fold_responses"] + """) f
+    UNION ALL SELECT job_id, 'refused', 0, concat('{"error": "', reason, '"}') FROM (""" + ORACLE["rejected_requests"] + ") r"

@@ -16,6 +16,7 @@ from ..plans import classifier as C
 from ..plans import datasets, rounds
 from ..session import cut_lineage, shared_folder, spread
 from ..sources import requests as R
+from ..streaming import jobs
 from ..streaming import requests as stream
 from . import inputs as I
 
@@ -457,6 +458,30 @@ def score_stream(s, d):
     return parts[0].unionByName(parts[1])
 
 
+def stream_responses(s, d):
+    """Responses of a stream of request files: some jobs come in two parts, all requests come twice, in two runs."""
+    base = f"{shared_folder(s)}/jobs-{uuid.uuid4().hex}"
+    wanted = I.requests(s, d)
+
+    def run():
+        read = stream.request_stream(s, f"{base}/in")
+        label = F.concat(F.lit("L"), (F.length("body_text") % 3).cast("string"))
+        pages = R.explode_requests(read, counted=True).withColumn("predicted_label", label)
+        # every third page of every second job waits for the second run
+        late = (F.crc32("job_id") % 2 == 0) & (F.col("pos") % 3 == 1)
+        seen = pages.filter(~late | F.lit(len(runs) > 0))
+        jobs.start_responses(
+            jobs.job_events(seen, R.rejected_requests(read)), f"{base}/responses", f"{base}/checkpoint"
+        ).awaitTermination()
+        runs.append(True)
+
+    runs = []
+    for _ in range(2):
+        wanted.write.mode("append").json(f"{base}/in")
+        run()
+    return s.read.schema(jobs.RESPONSES).parquet(f"{base}/responses").select("job_id", "status", "part", "response")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -471,6 +496,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         segment_domains_filtered, segment_domains_lists, numeric_state,
         impute_scale, tfidf, host_idf, host_svd, stratified_split, label_index, fit_predict,
         model_info, self_distill, active_round, explode_requests, rejected_requests,
-        fold_responses, score_stream,
+        fold_responses, score_stream, stream_responses,
     )
 }
