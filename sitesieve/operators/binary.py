@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .align import aligned, one_row_a_page
 from .multiclass import side_by_side
 from .votes import unfold_votes
 
@@ -50,11 +49,9 @@ def evaluate_binary_models(votes: DataFrame, predictions: dict[str, DataFrame])
     All three are NaN where nothing was predicted positive; null where only
     their own denominator is zero.
     """
-    preds = reduce(
-        DataFrame.unionByName,
-        [df.select("visit_id", "decision", F.lit(m).alias("model")) for m, df in predictions.items()],
-    )
-    judged = binary_pages(votes).filter("has_majority").join(preds, "visit_id")
+    pages = aligned(binary_pages(votes), one_row_a_page(predictions, "decision")).filter("has_majority")
+    judged = pages.select("visit_id", "unanimous", "positive", F.explode("answers").alias("answer")).select(
+        "visit_id", "unanimous", "positive", "answer.model", "answer.decision")
     decided, real = F.col("decision"), F.col("positive")
     cells = {"tp": decided & real, "fp": decided & ~real, "fn": ~decided & real}
     populations = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import aligned
 from .votes import summarise_pages
 
 
@@ -15,9 +16,9 @@ def confusion_table(votes: DataFrame, predictions: DataFrame) -> DataFrame:
     true somewhere count, so a prediction outside them leaves the row total.
     `true_rank` orders the labels from most to least frequent.
     """
+    pages = summarise_pages(votes, every_page=True).select("visit_id", "n_votes", F.col("top_label").alias("true_label"))
     counts = (
-        summarise_pages(votes).select("visit_id", F.col("top_label").alias("true_label"))
-        .join(predictions.select("visit_id", "predicted_label"), "visit_id")
+        aligned(pages, predictions.select("visit_id", "predicted_label")).filter("n_votes > 0")
         .groupBy("true_label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
     )
     # class-sized tables from here on

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import aligned, one_row_a_page
+
 
 def _vote_column(df: DataFrame) -> str:
     return "predicted_label" if "predicted_label" in df.columns else "decision"
@@ -17,17 +17,14 @@ def combine_predictions(sets: list[DataFrame], majority_only: bool = False) -> D
 
     On a tie the earliest set in the list decides, or the page is dropped with
     `majority_only`. Other columns come from the first set; scores that no
-    longer belong to the voted value are dropped.
+    longer belong to the voted value are dropped. A page that is not in all sets is an error.
     """
     key = _vote_column(sets[0])
-    ballots = [
-        df.select("visit_id", F.col(key).alias(f"vote_{i}")) for i, df in enumerate(sets[1:], 1)
-    ]
-    joined = reduce(
-        lambda left, right: left.join(right, "visit_id"),
-        ballots,
-        sets[0].withColumn("vote_0", F.col(key)),
-    )
+    joined = sets[0].withColumn("vote_0", F.col(key))
+    if len(sets) > 1:
+        others = one_row_a_page({str(i): df for i, df in enumerate(sets[1:], 1)}, key)
+        votes = {f"vote_{i}": F.col("answers")[i - 1][key] for i in range(1, len(sets))}
+        joined = aligned(joined, others, names=("prediction", "prediction")).withColumns(votes).drop("answers")
     voted = vote_columns(joined, len(sets), key, majority_only)
     return voted.drop("entropy", *(["prediction"] if key == "decision" else []))
 

@@ -59,14 +59,15 @@ def page_summary_columns():
 
     Labels are ranked by votes, then by first position. The leader is compared
     with the label that ranks first when positions are reversed: they are the
-    same label exactly if nobody else has as many votes.
+    same label exactly if nobody else has as many votes. Rows without `n` are no votes.
     """
+    voted = F.col("n").isNotNull()
     return [
         F.sum("n").alias("n_votes"),
-        F.count(F.lit(1)).alias("n_labels"),
+        F.count("n").alias("n_labels"),
         F.max("n").alias("top_votes"),
-        F.min_by("label", F.struct(-F.col("n"), "first_ord", "label")).alias("top_label"),
-        F.max_by("label", F.struct("n", "first_ord", "label")).alias("last_leader"),
+        F.min_by("label", F.when(voted, F.struct(-F.col("n"), "first_ord", "label"))).alias("top_label"),
+        F.max_by("label", F.when(voted, F.struct("n", "first_ord", "label"))).alias("last_leader"),
     ]
 
 
@@ -79,11 +80,18 @@ def with_page_flags(pages: DataFrame) -> DataFrame:
     ).drop("last_leader")
 
 
-def summarise_pages(votes: DataFrame) -> DataFrame:
-    """Per page: vote and label counts, top label, plurality and unanimity flags."""
+def summarise_pages(votes: DataFrame, every_page: bool = False) -> DataFrame:
+    """Per page: vote and label counts, top label, plurality and unanimity flags.
+
+    Of vote lists, `every_page` keeps pages without a vote as well, and adds the distinct labels as `votes_seen`.
+    """
     if "labels" in votes.columns:
-        ranked = votes.filter(F.size("labels") > 0).select(
-            "visit_id", F.size("labels").alias("n"), on_lists.ranked(F.col("labels")).alias("ranked")
+        listed = votes.select("visit_id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+        if not every_page:
+            listed = listed.filter(F.size("labels") > 0)
+        seen = [F.array_distinct("labels").alias("votes_seen")] if every_page else []
+        ranked = listed.select(
+            "visit_id", F.size("labels").alias("n"), on_lists.ranked(F.col("labels")).alias("ranked"), *seen
         )
         top, runner_up = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
         return ranked.select(
@@ -94,6 +102,7 @@ def summarise_pages(votes: DataFrame) -> DataFrame:
             top["label"].alias("top_label"),
             (runner_up.isNull() | (top["votes"] < runner_up["votes"])).alias("has_majority"),
             (F.size("ranked") == 1).alias("unanimous"),
+            *(["votes_seen"] if every_page else []),
         )
     return with_page_flags(label_counts(votes).groupBy("visit_id").agg(*page_summary_columns()))
 

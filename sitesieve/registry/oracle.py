@@ -399,3 +399,14 @@ ORACLE["segment_domains_filtered"] = ORACLE["segment_domains_lists"] = ORACLE["s
 
 ORACLE["stream_responses"] = "SELECT job_id, 'done' status, 0 part, response FROM (" + ORACLE["fold_responses"] + """) f
     UNION ALL SELECT job_id, 'refused', 0, concat('{"error": "', reason, '"}') FROM (""" + ORACLE["rejected_requests"] + ") r"
+
+ORACLE["unmatched_pages"] = _with("", *_JUDGED, "pred1").rstrip() + """,
+part AS (SELECT * FROM pred1 WHERE visit_id NOT LIKE '%1'
+  UNION ALL SELECT visit_id || 'x', predicted_label FROM pred1 WHERE visit_id LIKE '%2'),
+number(visit_id, x) AS (SELECT visit_id, CAST('0x' || substr(md5(visit_id), 1, 12) AS BIGINT) FROM (
+  SELECT visit_id FROM judged UNION SELECT visit_id FROM part)),
+both_sides AS (SELECT j.visit_id a, s.visit_id b, top_label, predicted_label FROM judged j FULL JOIN part s USING (visit_id))
+SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) matched, count(*) FILTER (WHERE b IS NULL) only_votes,
+  count(*) FILTER (WHERE a IS NULL) only_predictions, CAST(sum(x.x) AS VARCHAR) vote_keys, CAST(sum(y.x) AS VARCHAR) prediction_keys,
+  count(*) FILTER (WHERE top_label = predicted_label) agreeing
+FROM both_sides LEFT JOIN number x ON x.visit_id = a LEFT JOIN number y ON y.visit_id = b"""

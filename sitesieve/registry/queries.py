@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import binary, confusion, ensemble, hosts, multiclass, numeric, prcurve, ranking
+from ..operators import align, binary, confusion, ensemble, hosts, multiclass, numeric, prcurve, ranking
 from ..operators import scoring, segment, split, subwords, tokens, visits
 from ..operators import votes as V
 from ..plans import classifier as C
@@ -170,6 +170,19 @@ def confusion_binary(s, d):
 # --- predictions ------------------------------------------------------------
 
 
+def unmatched_pages(s, d):
+    """Voted pages and pages of a model that has seen only some days: counts and key sets, from the join itself."""
+    pages = V.summarise_pages(I.votes(s, d)).select("visit_id", "top_label")
+    first, _, _ = I.model_predictions(s, d)
+    some = first.filter(~F.col("visit_id").endswith("1")).unionByName(
+        first.filter(F.col("visit_id").endswith("2")).withColumn("visit_id", F.concat("visit_id", F.lit("x"))))
+    seen = Observation()
+    agreeing = align.counted(pages, some, seen).agg(F.count_if(F.col("top_label") == F.col("predicted_label")).alias("n")).first()["n"]
+    got = seen.get
+    row = (got["matched"], got["only_left"], got["only_right"], str(got["left_keys"]), str(got["right_keys"]), agreeing)
+    return s.createDataFrame([row], "matched long, only_votes long, only_predictions long, vote_keys string, prediction_keys string, agreeing long")
+
+
 def label_distribution(s, d):
     first, _, _ = I.model_predictions(s, d)
     return ensemble.label_distribution(first).withColumn("percent", F.round("percent", 6))
@@ -489,7 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalise_columns, drop_ignored_lists, absorb_labels, votes_majority, list_majority,
         encode_binary_votes, multiclass_metrics, multiclass_metrics_lists, inclusion_rate,
         compare_models, binary_metrics, compare_binary, pr_curve, pr_summary, confusion_table,
-        confusion_matrix, confusion_binary, label_distribution, combine_predictions,
+        confusion_matrix, confusion_binary, unmatched_pages, label_distribution, combine_predictions,
         combine_majority_only, combine_decisions, rank_uncertain, top_uncertain,
         recombine_windows, binary_decisions, domain_strip, hosts_join, count_tag, model_text,
         text_chunks, vocabulary, token_windows, token_windows_joined, subword_windows, subword_vocabulary, gram_counts, segment_domains,

@@ -35,8 +35,8 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_per_page_aggregate_reuses_the_join_partitioning(spark, small):
-    """Votes are shuffled per (page, label), then once on the page; predictions once."""
+def test_votes_and_predictions_meet_in_one_shuffle(spark, small):
+    """Votes are shuffled per (page, label), then once on the page, together with the predictions."""
     from sitesieve.operators.multiclass import judged_pages
     from sitesieve.operators.votes import label_counts
 
@@ -45,7 +45,7 @@ def test_per_page_aggregate_reuses_the_join_partitioning(spark, small):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = plan_of(judged_pages(votes, {"m": preds}))
-        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
         assert len(re.findall(r"Exchange hashpartitioning", plan_of(label_counts(votes)))) == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
