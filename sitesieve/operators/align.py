@@ -27,7 +27,10 @@ def aligned(left: DataFrame, right: DataFrame, key: str = "visit_id", names: tup
         F.col(RIGHT).isNull(), F.concat(F.lit(f"no {names[1]} for page "), shown)
     )
     whole = F.when(missing.isNull(), F.lit(True)).otherwise(F.raise_error(missing).cast("boolean"))
-    return _outer(left, right, key).filter(whole).drop(LEFT, RIGHT)
+    # a row number is never negative; but no later filter is moved below a column that holds one, where it
+    # would remove the rows of one side before they are looked at
+    seen = whole & (F.monotonically_increasing_id() >= 0)
+    return _outer(left, right, key).withColumn(LEFT, seen).filter(LEFT).drop(LEFT, RIGHT)
 
 
 def fingerprint(key: Column, there: Column) -> Column:

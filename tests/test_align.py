@@ -48,8 +48,12 @@ def test_a_page_of_one_side_only_or_twice_is_named(spark, case):
     for name, report in reports(votes, predictions, frames(spark)[1]).items():
         if twice and name in ("confusion", "curve"):
             continue  # a page's second prediction is a second row there
-        with pytest.raises(PySparkException, match=f"page {page}"):
+        try:
             report.collect()
+        except PySparkException as error:
+            assert f"page {page}" in str(error), name
+        else:
+            pytest.fail(f"{name} does not look at page {page}")
 
 
 def test_pages_without_votes_in_their_list_are_known_but_not_judged(spark):
