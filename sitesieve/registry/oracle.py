@@ -410,3 +410,6 @@ SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) matched, count(*)
   count(*) FILTER (WHERE a IS NULL) only_predictions, CAST(sum(x.x) AS VARCHAR) vote_keys, CAST(sum(y.x) AS VARCHAR) prediction_keys,
   count(*) FILTER (WHERE top_label = predicted_label) agreeing
 FROM both_sides LEFT JOIN number x ON x.visit_id = a LEFT JOIN number y ON y.visit_id = b"""
+
+ORACLE["window_store"] = "SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id, chunk_no) - 1 row_no, * FROM (" \
+    + ORACLE["text_chunks"] + ") c) r WHERE row_no % 7 = 0"

@@ -16,6 +16,7 @@ from ..plans import classifier as C
 from ..plans import datasets, rounds
 from ..session import cut_lineage, shared_folder, spread
 from ..sources import requests as R
+from ..sources import windowstore
 from ..streaming import jobs
 from ..streaming import requests as stream
 from . import inputs as I
@@ -336,6 +337,18 @@ def segment_domains_lists(s, d):
     return segment.segment_domains(I.hosts_of_pages(s, d), *_grams(s, d), broadcast_grams=0, broadcast_found=0)
 
 
+def window_store(s, d):
+    """Two committed appends with one between them that never is, then one row in seven by its number."""
+    store = windowstore.WindowStore(s, f"{shared_folder(s)}/windows-{uuid.uuid4().hex}")
+    chunks = text_chunks(s, d)
+    even = F.col("doc_id") % 2 == 0
+    store.append(chunks.filter(even), ["doc_id", "chunk_no"])
+    chunks.write.parquet(f"{store.path}/data/00000001-broken")
+    store.append(chunks.filter(~even), ["doc_id", "chunk_no"])
+    numbers = s.range(0, len(store), 7).select(F.col("id").alias("row_no"))
+    return store.take(numbers).select("row_no", "doc_id", "chunk_no", "n", "chunk")
+
+
 # --- features ---------------------------------------------------------------
 
 
@@ -505,7 +518,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         confusion_matrix, confusion_binary, unmatched_pages, label_distribution, combine_predictions,
         combine_majority_only, combine_decisions, rank_uncertain, top_uncertain,
         recombine_windows, binary_decisions, domain_strip, hosts_join, count_tag, model_text,
-        text_chunks, vocabulary, token_windows, token_windows_joined, subword_windows, subword_vocabulary, gram_counts, segment_domains,
+        text_chunks, window_store, vocabulary, token_windows, token_windows_joined, subword_windows, subword_vocabulary, gram_counts, segment_domains,
         segment_domains_filtered, segment_domains_lists, numeric_state,
         impute_scale, tfidf, host_idf, host_svd, stratified_split, label_index, fit_predict,
         model_info, self_distill, active_round, explode_requests, rejected_requests,
