@@ -102,7 +102,7 @@ inserts(place, later, cost, letters, made) AS (
   VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
     (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']),
     (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:']), (3, 3, 4, 'II', ['user:', 'assistant:'])),
-edits AS (
+edits AS MATERIALIZED (
   SELECT c, i, p AS place, e.edit, e.later, e.cost, e.made
   FROM faulty, (VALUES (0), (1), (2), (3)) places(p), unnest([
     {{'edit': 'D', 'later': p, 'cost': 3, 'made': []::VARCHAR[]}},

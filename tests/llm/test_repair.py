@@ -92,8 +92,8 @@ def odd_rows(seed=7):
         for i in range(rng.randrange(1, 30)):
             turn = rng.choice([None, i, i, i + rng.randrange(3), 5])
             rows.append((conv, turn, rng.choice(["user", "assistant", "system", "tool", None, "u", "", "User"]), rng.choice(texts)))
-    rows += [(1000, i, "user" if i % 2 == 0 else "assistant", f"line {i}" + "." * (i % 3 > 0)) for i in range(1500)]
-    rows += [(1001, 3, "user", "the very same.")] * 400 + [(1002, i, "user", "the same again.") for i in range(300)]
+    rows += [(1000, i, "user" if i % 2 == 0 else "assistant", f"line {i}" + "." * (i % 3 > 0)) for i in range(250)]
+    rows += [(1001, 3, "user", "the very same.")] * 60 + [(1002, i, "user", "the same again.") for i in range(70)]
     return rows
 
 
@@ -119,11 +119,11 @@ def test_odd_rows_are_the_sql(spark, odd_folder):
 def test_conversations_in_many_pieces_are_the_sql(spark, odd_folder):
     rows = queries.damaged(spark.read.parquet(f"{odd_folder}/conversations.parquet"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        made = repair.Repair(rows, piece_rows=40)
-        assert made.parts.groupBy("conv_id").count().agg(F.max("count")).first()[0] > 20
+        made = repair.Repair(rows, piece_rows=8)
+        assert made.parts.groupBy("conv_id").count().agg(F.max("count")).first()[0] > 10
         assert difference(odd_sql(odd_folder), sql.REPAIR, made.report()) is None
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
