@@ -12,8 +12,8 @@ members are compared with a leader, not with each other; there are more leaders
 leaves the bucket once all others met it, members already connected are not compared again, nor are two whose
 distances from the first leader differ by more than a link is long (distances obey the triangle inequality),
 nor two whose signatures agree too seldom for a link, by a bound that a pair at the threshold misses with
-probability 1e-6. So no other pair in a bucket goes untried unless it is connected anyway. What is compared is
-compared exactly.
+probability 1e-6. A pair leaves the bucket of the first band that it shares and no other. So no pair in a bucket
+goes untried unless it is connected anyway, and none is tried in every band. What is compared is compared exactly.
 
 Rules for odd rows: null and empty texts and texts without words are no copies of anything, unless (with some
 character in them) equal in full; ids may be null or repeated; a repeated row is a copy of the other; other
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .base import checked_broadcast, join_rows, spare
 from .components import components
 from .shingles import U, chunks, mix, shingle_sets
@@ -40,11 +40,11 @@ SIMILARITY = 0.8
 # A pair at the threshold is missed with probability (1 - 0.8**5) ** 32 < 4e-6.
 BANDS, ROWS = 32, 5
 # Coordinates of a signature; those beyond the bands serve the estimate alone, which keeps two bits of each.
-COORDINATES = 320
+COORDINATES = 640
 # A pair at the threshold is dropped by the estimate with this probability at most.
 MISS = 1e-6
 # Times the leaders of a bucket that the next round has.
-MORE_LEADERS = 4
+MORE_LEADERS = 32
 # Cells worked on at once.
 CELLS = 1 << 19
 
@@ -134,6 +134,14 @@ def agreements(a: str, b: str, coordinates: int = COORDINATES) -> Column:
     return F.expr(f"{coordinates} - ({counts})")
 
 
+def shares_earlier(bands: int) -> Column:
+    """Whether `marks` and `leader_marks` (32 bits of each band) agree in a band before that of the row.
+
+    Two different bands pass for the same one with probability 2^-32, which hides a pair with 1e-8 at most.
+    """
+    return F.expr(" OR ".join(["false", *(f"band > {i} AND marks[{i}] = leader_marks[{i}]" for i in range(bands - 1))]))
+
+
 def _sketch(width: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -176,9 +184,11 @@ def _verify(width: int):
             return known[v]
 
         for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
+            a, b, left, right = (batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))
             sims = [float(similarity(multiset(b[k], right[k]), multiset(a[k], left[k]))) for k in range(len(a))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sims, pa.float64())], ["a", "b", "sim"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(sims, pa.float64())], ["a", "b", "label_a", "label_b", "sim"]
+            )
 
     return run
 
@@ -203,71 +213,84 @@ def contents_of(documents: DataFrame, id_column: str, width: int, bands: int, ro
 
 
 def buckets_of(numbered: DataFrame) -> DataFrame:
-    """(key, v) of the bands that at least two texts share."""
-    members = numbered.filter("total > 0").select("v", F.explode("bands").alias("key"))
+    """(key, v, band) of the bands that at least two texts share."""
+    members = numbered.filter("total > 0").select("v", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     return members.join(shared, "key")
 
 
-def similar_edges(documents: DataFrame, id_column: str, numbered: DataFrame, width: int, least: float) -> DataFrame:
-    """Edges (a, b) between numbers of texts, enough to connect all that are similar."""
-    open_members = cut_lineage(buckets_of(numbered).join(numbered.select("v", "bits"), "v").select("key", "v", "bits"))
-    wanted = open_members.select("v").distinct().join(numbered.select("v", "first_id", "content", "total"), "v")
-    wanted = cut_lineage(wanted)
+def similar_edges(
+    documents: DataFrame, id_column: str, numbered: DataFrame, width: int, least: float, bands: int
+) -> DataFrame | None:
+    """Edges (a, b) between numbers of texts, enough to connect all that are similar; None if no two share a bucket."""
+    members = cut_lineage(buckets_of(numbered))
+    wanted = members.select("v").distinct().join(numbered, "v")
+    wanted = cut_lineage(wanted.select(
+        "v", "first_id", "content", "total", "bits", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("marks")
+    ))
     keyed = documents.select(F.col(id_column).alias("first_id"), content_of(F.col("text")).alias("content"), "text")
     slim = wanted.select("first_id", "content", "v")
     # one row of each wanted text; spread by id and text, so very many copies are no hot key
     texts = join_rows(keyed, checked_broadcast(slim), "inner", ("first_id", "content"))
     texts = cut_lineage(texts.select("v", "text").dropDuplicates(["v"]))
-    totals = wanted.select("v", "total")
-    edges, tried, labels, leaders_per_bucket = None, None, None, 1
-    # how near each member is to the first leader of its bucket, once that is known
-    open_members = open_members.withColumns({"near": F.lit(None).cast("double"), "label": F.col("v")})
+    # `near` is how near a member is to the first leader of its bucket, once that is known
+    open_members = cut_lineage(members.join(wanted.select("v", "total", "bits", "marks"), "v").select(
+        "key", "v", "band", "total", "bits", "marks", F.lit(None).cast("double").alias("near"), F.col("v").alias("label")
+    ))
+    edges, leaders_per_bucket = None, 1
     while not open_members.isEmpty():
-        slot = F.pmod(F.xxhash64("v", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket)).alias("slot")
-        first = F.min(F.struct("v", "near", "bits", "label"))
-        leaders = cut_lineage(
-            open_members.groupBy("key", slot).agg(first.alias("f")).select(
-            "key", F.col("f.v").alias("leader"), F.col("f.near").alias("leader_near"), F.col("f.bits").alias("leader_bits"),
-            F.col("f.label").alias("leader_label"),
-        )
-        )
-        met = open_members.join(leaders, "key").filter("label <> leader_label")
-        met = met.filter(agreements("bits", "leader_bits") >= least_agreements(least))
-        # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
-        apart = F.abs(F.col("near") - F.col("leader_near")) > 1 - least + 1e-9
-        pairs = met.filter(~F.coalesce(apart, F.lit(False))).select(
-            F.greatest("v", "leader").alias("a"), F.least("v", "leader").alias("b")
-        ).distinct()
-        if labels is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        sized = pairs.join(totals.select(F.col("v").alias("a"), F.col("total").alias("size_a")), "a").join(
-            totals.select(F.col("v").alias("b"), F.col("total").alias("size_b")), "b"
-        )
-        pairs = cut_lineage(sized.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")).select("a", "b"))
+        leaders, pairs = _meet(open_members, leaders_per_bucket, least, bands)
         both = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a").join(
             texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b"
-        ).select("a", "b", "left", "right")
-        compared = cut_lineage(both.mapInArrow(_verify(width), "a bigint, b bigint, sim double"))
-        found = compared.filter(F.col("sim") >= least).select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        stars = found if labels is None else found.unionByName(labels.select(F.col("v").alias("a"), F.col("component").alias("b")))
-        labels = cut_lineage(components(stars))
-        # leaders have met everyone in their bucket; a bucket of one component needs no more comparisons
+        ).select("a", "b", "label_a", "label_b", "left", "right")
+        compared = cut_lineage(both.mapInArrow(_verify(width), "a bigint, b bigint, label_a bigint, label_b bigint, sim double"))
+        found = compared.filter(F.col("sim") >= least)
+        edges = found.select("a", "b") if edges is None else edges.unionByName(found.select("a", "b"))
+        # leaders have met everyone in their bucket
         left = open_members.join(leaders.select("key", F.col("leader").alias("v")), ["key", "v"], "left_anti")
         if leaders_per_bucket == 1:
-            seen = left.drop("near", "label").join(leaders.select("key", "leader"), "key").withColumns(
+            seen = left.drop("near").join(leaders.select("key", "leader"), "key").withColumns(
                 {"a": F.greatest("v", "leader"), "b": F.least("v", "leader")}
             )
-            left = seen.join(compared, ["a", "b"], "left").select("key", "v", F.col("sim").alias("near"), "bits")
-        named = left.drop("label").join(labels, "v", "left").select("key", "v", "near", "bits", F.coalesce("component", "v").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        open_members = cut_lineage(named.join(mixed, "key").select("key", "v", "near", "bits", "label"))
+            left = seen.join(compared.select("a", "b", F.col("sim").alias("near")), ["a", "b"], "left").drop("a", "b", "leader")
+        if not found.isEmpty():
+            # only the components that met are joined anew
+            joined = components(found.select("label_a", "label_b")).withColumnRenamed("v", "label")
+            left = left.join(joined, "label", "left").withColumn("label", F.coalesce("component", "label"))
+        # a bucket of one component needs no more comparisons
+        mixed = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+        remaining = cut_lineage(left.join(mixed, "key").select(*open_members.columns))
+        for done in (open_members, leaders, pairs):
+            release(done)
+        open_members = remaining
         leaders_per_bucket *= MORE_LEADERS
     return edges
 
 
+def _meet(open_members: DataFrame, leaders_per_bucket: int, least: float, bands: int) -> tuple[DataFrame, DataFrame]:
+    """The leaders of every bucket, and the pairs (a, b, label_a, label_b) of members with leaders to be compared."""
+    slot = F.pmod(F.xxhash64("v", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket)).alias("slot")
+    first = F.min(F.struct("v", "near", "total", "bits", "marks", "label")).alias("f")
+    of_leader = {"v": "leader", **{c: f"leader_{c}" for c in ("near", "total", "bits", "marks", "label")}}
+    leaders = cut_lineage(open_members.groupBy("key", slot).agg(first).select(
+        "key", *(F.col(f"f.{c}").alias(name) for c, name in of_leader.items())
+    ))
+    # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
+    apart = F.abs(F.col("near") - F.col("leader_near")) > 1 - least + 1e-9
+    met = open_members.join(leaders, "key").filter(
+        (F.col("label") != F.col("leader_label"))
+        & (F.least("total", "leader_total") >= least * F.greatest("total", "leader_total"))
+        & (agreements("bits", "leader_bits") >= least_agreements(least))
+        & ~F.coalesce(apart, F.lit(False)) & ~shares_earlier(bands)
+    )
+    later = F.col("v") > F.col("leader")
+    return leaders, cut_lineage(met.select(
+        F.greatest("v", "leader").alias("a"), F.least("v", "leader").alias("b"),
+        F.when(later, F.col("label")).otherwise(F.col("leader_label")).alias("label_a"),
+        F.when(later, F.col("leader_label")).otherwise(F.col("label")).alias("label_b"),
+    ).distinct())
+
+
 def near_duplicates(
     documents: DataFrame, id_column: str = "doc_id", width: int = WIDTH, least: float = SIMILARITY,
     bands: int = BANDS, rows: int = ROWS,
@@ -278,7 +301,7 @@ def near_duplicates(
     marks the rows with this id and its text; `n_texts` counts the distinct texts of the class.
     """
     rows_of, numbered = contents_of(documents, id_column, width, bands, rows)
-    edges = similar_edges(documents, id_column, numbered, width, least)
+    edges = similar_edges(documents, id_column, numbered, width, least, bands)
     named = numbered.select("v", "content", "first_id")
     if edges is None:
         named = named.withColumn("label", F.col("v"))

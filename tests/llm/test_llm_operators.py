@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitesieve.llm import queries, sql
+from sitesieve.llm import dartminhash, queries, sql
 from sitesieve.llm.base import held_out, table
 from sitesieve.llm.components import components
 from sitesieve.llm.dartminhash import near_duplicates, one_of_each, similarity
@@ -162,6 +162,27 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def test_group_around_one_text_at_every_distance(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(260):
+        words = list(base)
+        for i in rng.choice(150, rng.integers(0, 14), replace=False):
+            words[i] = f"n{k}x{i}"
+        rows.append((k, " ".join(words)))
+    # few leaders, so that the rounds differ in them and pairs are spread over many
+    monkeypatch.setattr(dartminhash, "MORE_LEADERS", 3)
+    met, meet = [], dartminhash._meet
+    monkeypatch.setattr(dartminhash, "_meet", lambda *of: met.append(meet(*of)) or (met[-1][0], met[-1][1].cache()))
+    monkeypatch.setattr(dartminhash, "release", lambda cut: None)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    label = brute_classes(rows)
+    assert got == {k: label[k] for k in range(len(rows))} and 1 < len(set(label)) < len(rows)
+    pairs = Counter((r["a"], r["b"]) for _, found in met for r in found.collect())
+    assert len(met) > 3 and max(pairs.values()) == 1
+
+
 def test_near_duplicates_of_odd_rows(odd, clashing, none):
     got = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in near_duplicates(odd).collect())
     assert got[(1, 1, True)] == 3 and got[(10, 5, False)] == 1 and got[(9, 8, False)] == 1 and got[(7, 6, False)] == 1
