@@ -137,15 +137,30 @@ def own_part(mine: list[list[bytes]], words: list[bytes]) -> bytes:
 def without_copies(texts: list[str], kinds: list[int]) -> list[int]:
     """Places of the texts that are no near copies of earlier ones of their kind: groups of copies would pass for a kind's
     language. A text with a near copy of the other kind stays: what tells the two apart is what is to be learned."""
-    seen: dict[int, set[int]] = {kind: set() for kind in kinds}
-    kept = []
-    for k, (text, kind) in enumerate(zip(texts, kinds)):
-        words = text.split()
-        runs = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(len(words) - 2, 1))}
-        if len(runs & seen[kind]) <= len(runs) // 2:
-            kept.append(k)
-        seen[kind] |= runs
-    return kept
+    runs = [_runs(text) for text in texts]
+    repeated = np.zeros(len(texts), np.int64)
+    for kind in set(kinds):
+        mine = [k for k, other in enumerate(kinds) if other == kind]
+        owner = np.repeat(np.array(mine, np.int32), [len(runs[k]) for k in mine])
+        every = np.concatenate([runs[k] for k in mine])
+        # by the leading bits of a run, so that little is sorted at once
+        part = (every >> np.uint32(28)).astype(np.uint8)
+        for high in range(16):
+            here = np.flatnonzero(part == high)
+            # texts come in order, so the first place of a run is its first text; all later ones repeat it
+            _, first = np.unique(every[here], return_index=True)
+            later = np.ones(len(here), bool)
+            later[first] = False
+            repeated += np.bincount(owner[here[later]], minlength=len(texts))
+    return [k for k in range(len(texts)) if repeated[k] <= len(runs[k]) // 2]
+
+
+def _runs(text: str) -> np.ndarray:
+    """Checksums of the distinct runs of three words, ascending."""
+    words = text.split()
+    return np.unique(np.fromiter(
+        (zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(len(words) - 2, 1))), np.uint32
+    ))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
