@@ -277,8 +277,10 @@ def _meet(open_members: DataFrame, leaders_per_bucket: int, least: float, bands:
     ))
     # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
     apart = F.abs(F.col("near") - F.col("leader_near")) > 1 - least + 1e-9
-    met = open_members.join(leaders, "key").filter(
-        (F.col("label") != F.col("leader_label"))
+    # of two leaders of a bucket, one meets the other
+    leads = leaders.select("key", F.col("leader").alias("v"), F.lit(True).alias("leads"))
+    met = open_members.join(leads, ["key", "v"], "left").join(leaders, "key").filter(
+        (F.col("leads").isNull() | (F.col("v") > F.col("leader"))) & (F.col("label") != F.col("leader_label"))
         & (F.least("total", "leader_total") >= least * F.greatest("total", "leader_total"))
         & (agreements("bits", "leader_bits") >= least_agreements(least))
         & ~F.coalesce(apart, F.lit(False)) & ~shares_earlier(bands)
@@ -288,7 +290,7 @@ def _meet(open_members: DataFrame, leaders_per_bucket: int, least: float, bands:
         F.greatest("v", "leader").alias("a"), F.least("v", "leader").alias("b"),
         F.when(later, F.col("label")).otherwise(F.col("leader_label")).alias("label_a"),
         F.when(later, F.col("leader_label")).otherwise(F.col("label")).alias("label_b"),
-    ).distinct())
+    ))
 
 
 def near_duplicates(
