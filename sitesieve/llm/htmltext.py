@@ -58,6 +58,33 @@ NAMES = re.compile(
 PASSAGE = 80
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?|\Z", re.I) for name in RAW}
+# Those of them that may hold elements of their own name, and those that may close themselves.
+NESTED = frozenset("template svg math canvas object".split())
+FOREIGN = frozenset("svg math".split())
+_RAW_TAG = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>|\Z", re.I) for name in NESTED}
+
+
+def _after_raw(page: str, name: str, tag: str, at: int) -> int:
+    """Where the page goes on after the element that `tag`, which ends at `at`, opens.
+
+    Elements of its name inside it are counted; if not all of them end, the first end counts.
+    """
+    if name in FOREIGN and tag.endswith("/>"):
+        return at
+    first = _RAW_END[name].search(page, at).end()
+    if name not in NESTED:
+        return first
+    depth = 1
+    while depth:
+        inner = _RAW_TAG[name].search(page, at)
+        if inner[1] is None:
+            return first
+        at = inner.end()
+        if inner[1]:
+            depth -= 1
+        elif not (name in FOREIGN and inner[0].endswith("/>")):
+            depth += 1
+    return at
 
 
 def furniture_kind(name: str, attributes: str, in_article: bool) -> str:
@@ -181,7 +208,7 @@ def _read(page: str, shown: frozenset[int]) -> tuple[list[tuple[str, bool]], lis
         if token[1]:
             close(name)
         elif name in RAW:
-            at = _RAW_END[name].search(page, at).end()
+            at = _after_raw(page, name, token[0], at)
         elif name not in VOID:
             if name in BLOCKS and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 close(stack[-1][0])

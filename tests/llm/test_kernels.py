@@ -148,6 +148,16 @@ def test_article_without_furniture():
     assert htmltext.main_text(htmltext.page_lines(PAGE)) == "A & B\nOne two three\nFour five"
 
 
+@pytest.mark.parametrize("inner, kept", [
+    ('<svg class="i"/>', "a b"), ("<svg><svg><text>x</text></svg>y</svg>", "a b"), ("<math/>", "a b"),
+    ("<svg><svg/>x</svg>", "a b"), ("<object><object>x</object>y</object>", "a b"), ("<OBJECT><object>x</OBJECT>", "a b"),
+    ("<script>'<script>'</script>", "a b"), ("<svg>x", "a"),
+])
+def test_elements_without_text_end_where_they_end(inner, kept):
+    page = f"<body><article><p>a {inner} b</p></article></body>"
+    assert htmltext.main_text(htmltext.page_lines(page)) == kept
+
+
 def test_headers_of_article_and_page():
     page = '<div class="site-header">Top</div><article><div class="post-header"><h1>T</h1></div><p class="x ad-box">Buy</p><p>Text</p></article>'
     assert htmltext.main_text(htmltext.page_lines(page)) == "T\nText"
