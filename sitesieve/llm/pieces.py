@@ -59,15 +59,16 @@ class Pieces:
         best = [0.0] + [-1e300] * size
         back: list = [None] * (size + 1)
         at = 0  # positions up to here are final, but for pieces still to come
-        odd = [k for k, c in enumerate(part) if c not in self.single]
+        odd, done = [k for k, c in enumerate(part) if c not in self.single], 0
         for last, (length, score, i) in self.automaton.iter(part):
-            while odd and odd[0] < last:
-                self._unknown_at(odd.pop(0), best, back)
+            while done < len(odd) and odd[done] < last:
+                self._unknown_at(odd[done], best, back)
+                done += 1
             end = last + 1
             total = best[end - length] + score
             if total > best[end]:
                 best[end], back[end] = total, (length, i)
-        for k in odd:
+        for k in odd[done:]:
             self._unknown_at(k, best, back)
         ids, at = [], size
         while at:
