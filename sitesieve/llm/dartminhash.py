@@ -278,8 +278,12 @@ def _meet(open_members: DataFrame, leaders_per_bucket: int, least: float, bands:
     # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
     apart = F.abs(F.col("near") - F.col("leader_near")) > 1 - least + 1e-9
     # of two leaders of a bucket, one meets the other
-    leads = leaders.select("key", F.col("leader").alias("v"), F.lit(True).alias("leads"))
-    met = open_members.join(leads, ["key", "v"], "left").join(leaders, "key").filter(
+    if leaders_per_bucket > 1:
+        leads = leaders.select("key", F.col("leader").alias("v"), F.lit(True).alias("leads"))
+        open_members = open_members.join(leads, ["key", "v"], "left")
+    else:
+        open_members = open_members.withColumn("leads", F.lit(None).cast("boolean"))
+    met = open_members.join(leaders, "key").filter(
         (F.col("leads").isNull() | (F.col("v") > F.col("leader"))) & (F.col("label") != F.col("leader_label"))
         & (F.least("total", "leader_total") >= least * F.greatest("total", "leader_total"))
         & (agreements("bits", "leader_bits") >= least_agreements(least))
