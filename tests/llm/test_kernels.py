@@ -378,3 +378,8 @@ def test_features_of_odd_texts():
         got = quality.features_of(text)
         assert len(got) == len(quality.FEATURES) and np.isfinite(got).all()
 
+
+@pytest.mark.parametrize("wrong", [70_000, -1])
+def test_ids_that_the_format_cannot_hold_are_refused(wrong):
+    with pytest.raises(ValueError):
+        tokenids.encode_blocks([np.array([1, 2]), np.array([5, wrong, 7])])
