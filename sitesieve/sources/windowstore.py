@@ -14,7 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.skew import fits_broadcast
+
 ROW = "row_no"
+# Numbers up to this many travel to the rows; more are joined.
+MOST_NUMBERS = 5_000_000
 
 
 class AppendConflict(RuntimeError):
@@ -114,5 +118,6 @@ class WindowStore:
         return self.between(number, number + 1)
 
     def take(self, numbers: DataFrame) -> DataFrame:
-        """The rows of a table of numbers (`row_no`)."""
-        return self.read().join(numbers.select(ROW).distinct(), ROW)
+        """The rows of a table of numbers (`row_no`); rows stay where they are if the numbers fit a broadcast."""
+        wanted = numbers.select(ROW).distinct()
+        return self.read().join(F.broadcast(wanted) if fits_broadcast(wanted, MOST_NUMBERS) else wanted, ROW)
