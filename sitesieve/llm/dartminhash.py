@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, release
 from .base import checked_broadcast, join_rows, spare
-from .components import components
+from .components import components, nearer_roots
 from .shingles import U, chunks, mix, shingle_sets
 
 WIDTH = 5
@@ -45,6 +45,10 @@ COORDINATES = 640
 MISS = 1e-6
 # Times the leaders of a bucket that the next round has.
 MORE_LEADERS = 32
+# Pairs that a task compares, if there are more than cores times as many.
+PAIRS_OF_TASK = 10_000
+# Shingles that a task remembers, of the texts it met last (32 MB).
+REMEMBERED = 1 << 21
 # Cells worked on at once.
 CELLS = 1 << 19
 
@@ -127,19 +131,30 @@ def least_agreements(least: float, coordinates: int = COORDINATES, miss: float =
     return coordinates
 
 
-def agreements(a: str, b: str, coordinates: int = COORDINATES) -> Column:
-    """Number of coordinates that agree in their two bits, of two sketch columns."""
-    apart = [f"{a}[{i}] ^ {b}[{i}]" for i in range(coordinates // 32)]
+def words_of(bands: int, prefix: str = "") -> list[Column]:
+    """The words of `bits` and those of `marks` as columns of their own, named with a prefix.
+
+    Conditions on array elements, or on fewer columns, become one method too long for Java to compile. A join of more
+    than `spark.sql.codegen.maxFields` columns (100) has them in short methods: 1.7 instead of 13.6 microseconds a pair.
+    """
+    bits = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"{prefix}w{i}") for i in range(COORDINATES // 32)]
+    return bits + [F.coalesce(F.get("marks", F.lit(i)), F.lit(0)).alias(f"{prefix}m{i}") for i in range(bands)]
+
+
+def agreements(prefix: str, coordinates: int = COORDINATES) -> Column:
+    """Number of coordinates that agree in their two bits, of two sets of `words_of`, the second one named with a prefix."""
+    apart = [f"w{i} ^ {prefix}w{i}" for i in range(coordinates // 32)]
     counts = " + ".join(f"bit_count((({x}) | shiftright({x}, 1)) & {0x5555555555555555}L)" for x in apart)
     return F.expr(f"{coordinates} - ({counts})")
 
 
-def shares_earlier(bands: int) -> Column:
-    """Whether `marks` and `leader_marks` (32 bits of each band) agree in a band before that of the row.
+def shares_earlier(prefix: str, bands: int) -> Column:
+    """Whether two sets of `words_of` (32 bits of each band) agree in a band before that of the row.
 
     Two different bands pass for the same one with probability 2^-32, which hides a pair with 1e-8 at most.
     """
-    return F.expr(" OR ".join(["false", *(f"band > {i} AND marks[{i}] = leader_marks[{i}]" for i in range(bands - 1))]))
+    same = [f"band > {i} AND m{i} = {prefix}m{i}" for i in range(bands - 1)]
+    return F.expr(" OR ".join(["false", *same]))
 
 
 def _sketch(width: int, bands: int, rows: int):
@@ -174,13 +189,18 @@ def similarity(a: tuple, b: tuple) -> float:
 def _verify(width: int):
     def run(batches):
         known: OrderedDict = OrderedDict()
+        held = 0
 
         def multiset(v, text):
-            if v not in known:
+            nonlocal held
+            if v in known:
+                known.move_to_end(v)
+            else:
                 elements, weights, _ = shingle_sets([text.encode("utf-8", "replace")], width)
                 known[v] = (elements, weights)
-                if len(known) > 64:
-                    known.popitem(last=False)
+                held += len(elements) + 1
+                while held > REMEMBERED and len(known) > 2:
+                    held -= len(known.popitem(last=False)[1][0]) + 1
             return known[v]
 
         for batch in batches:
@@ -223,6 +243,7 @@ def similar_edges(
     documents: DataFrame, id_column: str, numbered: DataFrame, width: int, least: float, bands: int
 ) -> DataFrame | None:
     """Edges (a, b) between numbers of texts, enough to connect all that are similar; None if no two share a bucket."""
+    spark = documents.sparkSession
     members = cut_lineage(buckets_of(numbered))
     wanted = members.select("v").distinct().join(numbered, "v")
     wanted = cut_lineage(wanted.select(
@@ -240,7 +261,9 @@ def similar_edges(
     edges, leaders_per_bucket = None, 1
     while not open_members.isEmpty():
         leaders, pairs = _meet(open_members, leaders_per_bucket, least, bands)
-        both = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a").join(
+        # pairs of one bucket lie together: spread them, as each is much work
+        spread = max(spark.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_OF_TASK))
+        both = pairs.repartition(spread, "a", "b").join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a").join(
             texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b"
         ).select("a", "b", "label_a", "label_b", "left", "right")
         compared = cut_lineage(both.mapInArrow(_verify(width), "a bigint, b bigint, label_a bigint, label_b bigint, sim double"))
@@ -254,8 +277,8 @@ def similar_edges(
             )
             left = seen.join(compared.select("a", "b", F.col("sim").alias("near")), ["a", "b"], "left").drop("a", "b", "leader")
         if not found.isEmpty():
-            # only the components that met are joined anew
-            joined = components(found.select("label_a", "label_b")).withColumnRenamed("v", "label")
+            # only the labels that met are joined anew; what two tasks hold apart meets in a later round
+            joined = cut_lineage(nearer_roots(found.select("label_a", "label_b"))).withColumnsRenamed({"v": "label", "root": "component"})
             left = left.join(joined, "label", "left").withColumn("label", F.coalesce("component", "label"))
         # a bucket of one component needs no more comparisons
         mixed = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
@@ -283,11 +306,14 @@ def _meet(open_members: DataFrame, leaders_per_bucket: int, least: float, bands:
         open_members = open_members.join(leads, ["key", "v"], "left")
     else:
         open_members = open_members.withColumn("leads", F.lit(None).cast("boolean"))
-    met = open_members.join(leaders, "key").filter(
+    own = open_members.select("key", "v", "band", "total", "near", "label", "leads", *words_of(bands))
+    others = leaders.select("key", "leader", "leader_total", "leader_near", "leader_label", F.col("leader_bits").alias("bits"), F.col("leader_marks").alias("marks"))
+    others = others.select(*others.columns[:5], *words_of(bands, "leader_"))
+    met = own.join(others, "key").filter(
         (F.col("leads").isNull() | (F.col("v") > F.col("leader"))) & (F.col("label") != F.col("leader_label"))
         & (F.least("total", "leader_total") >= least * F.greatest("total", "leader_total"))
-        & (agreements("bits", "leader_bits") >= least_agreements(least))
-        & ~F.coalesce(apart, F.lit(False)) & ~shares_earlier(bands)
+        & ~F.coalesce(apart, F.lit(False)) & ~shares_earlier("leader_", bands)
+        & (agreements("leader_") >= least_agreements(least))
     )
     later = F.col("v") > F.col("leader")
     return leaders, cut_lineage(met.select(

@@ -6,13 +6,14 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sitesieve.llm import dartminhash, queries, sql
 from sitesieve.llm.base import held_out, table
-from sitesieve.llm.components import components
+from sitesieve.llm.components import _roots, components, nearer_roots
 from sitesieve.llm.dartminhash import near_duplicates, one_of_each, similarity
 from sitesieve.llm.decontaminate import contamination, near_terms, tokens, without_contaminated
 from sitesieve.llm.htmltext import extract_pages
@@ -194,6 +195,50 @@ def test_near_duplicates_of_odd_rows(odd, clashing, none):
     assert ids == Counter({1: 2, 2: 1, 3: 1, 4: 1, None: 2, 5: 1, 6: 1, 8: 1, 11: 1})
 
 
+def test_rounds_call_no_components_and_pairs_leave_the_compiled_stage(spark, monkeypatch):
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(40):
+        rows.append((k, " ".join(f"n{k}x{i}" if i in (k * 3, k * 3 + 1) else w for i, w in enumerate(words))))
+    calls, whole = [], dartminhash.components
+    monkeypatch.setattr(dartminhash, "components", lambda edges: calls.append(1) or whole(edges))
+    monkeypatch.setattr(dartminhash, "MORE_LEADERS", 2)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(brute_classes(rows))) and len(calls) == 1
+    # more columns than Spark puts into one method, which Java would not compile
+    assert 2 * len(dartminhash.words_of(dartminhash.BANDS)) > int(spark.conf.get("spark.sql.codegen.maxFields"))
+
+
+def test_pairs_by_their_words(spark):
+    rng = np.random.default_rng(3)
+    whole = rng.integers(0, 4, (2, dartminhash.COORDINATES), dtype=np.uint64)
+    whole[1, :500] = whole[0, :500]
+    bits = np.bitwise_or.reduce(whole.reshape(2, -1, 32) << (np.uint64(2) * np.arange(32, dtype=np.uint64)), axis=2).view(np.int64).tolist()
+    marks = [[-1, 7, -(1 << 31), 5], [1, 7, -(1 << 31), 6]]
+    rows = [(band, bits[0], marks[0], bits[1], marks[1]) for band in range(4)]
+    table = spark.createDataFrame(rows, "band int, bits array<bigint>, marks array<int>, b array<bigint>, m array<int>")
+    own = table.select("band", "b", "m", *dartminhash.words_of(4))
+    both = own.select(*own.columns[:1], *own.columns[3:], F.col("b").alias("bits"), F.col("m").alias("marks")).select("*", *dartminhash.words_of(4, "x_"))
+    got = both.select("band", dartminhash.shares_earlier("x_", 4), dartminhash.agreements("x_")).collect()
+    assert {r[0]: r[1] for r in got} == {0: False, 1: False, 2: True, 3: True}
+    assert {r[2] for r in got} == {int((whole[0] == whole[1]).sum())}
+
+
+def test_nearer_roots(spark, monkeypatch):
+    edges = [(5, 4), (4, 3), (9, 8), (3, 3), (1, 5), (7, 9), (20, 21)]
+    got = dict(map(tuple, nearer_roots(spark.createDataFrame(edges, "x bigint, y bigint").coalesce(1)).collect()))
+    assert got == {1: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+    many = [(k, k + 1) for k in range(0, 60)]
+    spread = spark.createDataFrame(many, "x bigint, y bigint").repartition(7)
+    assert all(root <= v for v, root in nearer_roots(spread).collect())
+    assert dict(map(tuple, components(spread).collect())) == dict.fromkeys(range(61), 0)
+    # a task that forgets its vertices tells them first
+    monkeypatch.setattr("sitesieve.llm.components.MOST_VERTICES", 3)
+    batches = [pa.RecordBatch.from_pydict({"a": [a], "b": [b]}) for a, b in [(1, 0), (3, 2), (3, 1)]]
+    told = [tuple(r.values()) for b in _roots(batches) for r in b.to_pylist()]
+    assert told == [(1, 0), (0, 0), (3, 2), (2, 2), (3, 1), (1, 1)]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (9, 8), (3, 3), (1, 5), (7, 9), (20, 21)] + [(30, k) for k in range(31, 60)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()))
