@@ -1,7 +1,7 @@
 """Connected components of a large edge table, by alternating star contraction.
 
 Every round hangs the larger neighbours of a vertex on its smallest neighbour, then the smaller ones; the
-edges end as stars around the smallest vertex of each component. Rounds are cut by written tables; nothing
+edges end as stars around the smallest vertex of each component. Edges of one task are joined before. Rounds are cut by written tables; nothing
 is collected. A vertex with very many edges is no hot task: its smallest neighbour is a partial aggregate
 and the join back is one that adaptive execution can split.
 """

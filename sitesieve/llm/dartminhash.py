@@ -9,7 +9,7 @@ ranks are opened as fill all coordinates, so short and long documents cost about
 
 Exact copies are collapsed before anything else. Documents that agree in a band share a bucket. In a bucket
 members are compared with a leader, not with each other; there are more leaders from round to round, a leader
-leaves the bucket once all others met it, members already connected are not compared again, nor are two whose
+leaves the bucket once all others met it, members known to be connected are not compared again, nor are two whose
 distances from the first leader differ by more than a link is long (distances obey the triangle inequality),
 nor two whose signatures agree too seldom for a link, by a bound that a pair at the threshold misses with
 probability 1e-6. A pair leaves the bucket of the first band that it shares and no other. So no pair in a bucket
