@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .base import ROWS_OF_FILE, cut_few
 
 
 # Vertices that a task remembers before it begins anew.
@@ -75,12 +76,14 @@ def components(edges: DataFrame) -> DataFrame:
     plain = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).filter("a <> b")
     # what a task can join alone is joined before the first round
     state = cut_lineage(plain.mapInArrow(_roots, "a bigint, b bigint").filter("a <> b"))
-    known = None
+    known, n = None, state.count()
     while True:
-        state = cut_lineage(_hang(_hang(state, True), False))
+        # a round makes no more than one row besides of each
+        state = cut_few(_hang(_hang(state, True), False), 2 * n, 10 * ROWS_OF_FILE)
         sign = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (sign["n"], sign["s"]) == known:
             break
         known = (sign["n"], sign["s"])
+        n = sign["n"]
     leaves = state.select(F.col("a").alias("v"), F.col("b").alias("component"))
     return leaves.unionByName(state.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct())

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, release
-from .base import checked_broadcast, join_rows, spare
+from .base import ROWS_OF_FILE, checked_broadcast, cut_few, join_rows, spare
 from .components import components, nearer_roots
 from .shingles import U, chunks, mix, shingle_sets
 
@@ -45,8 +46,14 @@ COORDINATES = 640
 MISS = 1e-6
 # Times the leaders of a bucket that the next round has.
 MORE_LEADERS = 32
-# Pairs that a task compares, if there are more than cores times as many.
+# Pairs that a task compares, if there are more than four times as many as cores take.
 PAIRS_OF_TASK = 10_000
+# Pairs of members and leaders that a task looks at (1.7 microseconds each), if they are more than the cores take.
+MET_OF_TASK = 2_000_000
+# Rows of a few numbers, and whole texts, that are worth a file.
+NARROW_ROWS, TEXT_ROWS = 10 * ROWS_OF_FILE, 2_000
+# Leaders of a round, of 450 bytes each, that may be copied to every executor.
+LEADERS_SENT = 64_000
 # Shingles that a task remembers, of the texts it met last (32 MB).
 REMEMBERED = 1 << 21
 # Cells worked on at once.
@@ -223,12 +230,15 @@ def contents_of(documents: DataFrame, id_column: str, width: int, bands: int, ro
     sketched = cut_lineage(
         keyed.mapInArrow(_sketch(width, bands, rows), f"id {keyed.schema['id'].dataType.simpleString()}, content binary, total bigint, bands array<bigint>, bits array<bigint>")
     )
-    distinct = sketched.groupBy("content").agg(
+    n_rows = sketched.count()
+    # written before it is sorted, as a sort reads its input twice
+    distinct = cut_few(sketched.groupBy("content").agg(
         F.min("id").alias("first_id"), F.first("total").alias("total"), F.first("bands").alias("bands"),
         F.first("bits").alias("bits"),
-    )
+    ), n_rows)
     # smaller numbers for smaller ids: the first of near copies tends to lead its buckets
-    numbered = cut_lineage(distinct.sort("first_id", "content").withColumn("v", F.monotonically_increasing_id()))
+    numbered = cut_few(distinct.sort("first_id", "content").withColumn("v", F.monotonically_increasing_id()), n_rows)
+    release(distinct)
     return sketched.select("id", "content"), numbered
 
 
@@ -244,83 +254,105 @@ def similar_edges(
 ) -> DataFrame | None:
     """Edges (a, b) between numbers of texts, enough to connect all that are similar; None if no two share a bucket."""
     spark = documents.sparkSession
-    members = cut_lineage(buckets_of(numbered))
+    n_texts = numbered.count()
+    members = cut_few(buckets_of(numbered), n_texts * bands, NARROW_ROWS)
     wanted = members.select("v").distinct().join(numbered, "v")
-    wanted = cut_lineage(wanted.select(
+    wanted = cut_few(wanted.select(
         "v", "first_id", "content", "total", "bits", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("marks")
-    ))
+    ), n_texts)
     keyed = documents.select(F.col(id_column).alias("first_id"), content_of(F.col("text")).alias("content"), "text")
     slim = wanted.select("first_id", "content", "v")
     # one row of each wanted text; spread by id and text, so very many copies are no hot key
     texts = join_rows(keyed, checked_broadcast(slim), "inner", ("first_id", "content"))
-    texts = cut_lineage(texts.select("v", "text").dropDuplicates(["v"]))
+    texts = cut_few(texts.select("v", "text").dropDuplicates(["v"]), n_texts, TEXT_ROWS)
     # `near` is how near a member is to the first leader of its bucket, once that is known
-    open_members = cut_lineage(members.join(wanted.select("v", "total", "bits", "marks"), "v").select(
+    n_open, n_met = bucket_sizes(members, 1)
+    open_members = cut_few(members.join(wanted.select("v", "total", "bits", "marks"), "v").select(
         "key", "v", "band", "total", "bits", "marks", F.lit(None).cast("double").alias("near"), F.col("v").alias("label")
-    ))
+    ), n_open)
     edges, leaders_per_bucket = None, 1
-    while not open_members.isEmpty():
-        leaders, pairs = _meet(open_members, leaders_per_bucket, least, bands)
+    while n_open:
+        leaders, sent, pairs = _meet(open_members, n_open, n_met, leaders_per_bucket, least, bands)
         # pairs of one bucket lie together: spread them, as each is much work
-        spread = max(spark.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_OF_TASK))
+        spread = max(4 * spark.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_OF_TASK))
         both = pairs.repartition(spread, "a", "b").join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a").join(
             texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b"
         ).select("a", "b", "label_a", "label_b", "left", "right")
-        compared = cut_lineage(both.mapInArrow(_verify(width), "a bigint, b bigint, label_a bigint, label_b bigint, sim double"))
+        # the joins may have split hot numbers into more parts than the pairs ask for
+        compared = cut_lineage(both.coalesce(spread).mapInArrow(_verify(width), "a bigint, b bigint, label_a bigint, label_b bigint, sim double"))
         found = compared.filter(F.col("sim") >= least)
         edges = found.select("a", "b") if edges is None else edges.unionByName(found.select("a", "b"))
         # leaders have met everyone in their bucket
-        left = open_members.join(leaders.select("key", F.col("leader").alias("v")), ["key", "v"], "left_anti")
+        left = open_members.join(sent(leaders.select("key", F.col("leader").alias("v"))), ["key", "v"], "left_anti")
         if leaders_per_bucket == 1:
-            seen = left.drop("near").join(leaders.select("key", "leader"), "key").withColumns(
+            seen = left.drop("near").join(sent(leaders.select("key", "leader")), "key").withColumns(
                 {"a": F.greatest("v", "leader"), "b": F.least("v", "leader")}
             )
             left = seen.join(compared.select("a", "b", F.col("sim").alias("near")), ["a", "b"], "left").drop("a", "b", "leader")
         if not found.isEmpty():
             # only the labels that met are joined anew; what two tasks hold apart meets in a later round
-            joined = cut_lineage(nearer_roots(found.select("label_a", "label_b"))).withColumnsRenamed({"v": "label", "root": "component"})
+            joined = cut_few(nearer_roots(found.select("label_a", "label_b")), n_open, NARROW_ROWS)
+            joined = joined.withColumnsRenamed({"v": "label", "root": "component"})
             left = left.join(joined, "label", "left").withColumn("label", F.coalesce("component", "label"))
         # a bucket of one component needs no more comparisons
         mixed = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        remaining = cut_lineage(left.join(mixed, "key").select(*open_members.columns))
+        remaining = cut_few(left.join(mixed, "key").select(*open_members.columns), n_open)
         for done in (open_members, leaders, pairs):
             release(done)
-        open_members = remaining
         leaders_per_bucket *= MORE_LEADERS
+        open_members, (n_open, n_met) = remaining, bucket_sizes(remaining, leaders_per_bucket)
     return edges
 
 
-def _meet(open_members: DataFrame, leaders_per_bucket: int, least: float, bands: int) -> tuple[DataFrame, DataFrame]:
-    """The leaders of every bucket, and the pairs (a, b, label_a, label_b) of members with leaders to be compared."""
+def bucket_sizes(members: DataFrame, leaders_per_bucket: int) -> tuple[int, int]:
+    """The members of all buckets, and at most how many pairs they and the leaders make."""
+    n = F.col("n")
+    met = F.sum(n * F.least(n, F.lit(leaders_per_bucket)))
+    got = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n).alias("n"), met.alias("met")).first()
+    return got["n"] or 0, got["met"] or 0
+
+
+def _meet(
+    open_members: DataFrame, n_open: int, n_met: int, leaders_per_bucket: int, least: float, bands: int
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame]:
+    """The leaders of every bucket, what marks them for a broadcast if they are few, and the pairs (a, b, label_a, label_b)
+    of members with leaders to be compared."""
     slot = F.pmod(F.xxhash64("v", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket)).alias("slot")
     first = F.min(F.struct("v", "near", "total", "bits", "marks", "label")).alias("f")
     of_leader = {"v": "leader", **{c: f"leader_{c}" for c in ("near", "total", "bits", "marks", "label")}}
-    leaders = cut_lineage(open_members.groupBy("key", slot).agg(first).select(
+    leaders = cut_few(open_members.groupBy("key", slot).agg(first).select(
         "key", *(F.col(f"f.{c}").alias(name) for c, name in of_leader.items())
-    ))
+    ), n_open)
+    # few leaders go to their members, which are dealt evenly, so a hot bucket needs no split
+    spark = open_members.sparkSession
+    sent = F.broadcast if leaders.count() <= LEADERS_SENT else lambda df: df
+    if sent is F.broadcast:
+        open_members = open_members.repartition(max(4 * spark.sparkContext.defaultParallelism, -(-n_met // MET_OF_TASK)))
     # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
     apart = F.abs(F.col("near") - F.col("leader_near")) > 1 - least + 1e-9
     # of two leaders of a bucket, one meets the other
     if leaders_per_bucket > 1:
         leads = leaders.select("key", F.col("leader").alias("v"), F.lit(True).alias("leads"))
-        open_members = open_members.join(leads, ["key", "v"], "left")
+        open_members = open_members.join(sent(leads), ["key", "v"], "left")
     else:
         open_members = open_members.withColumn("leads", F.lit(None).cast("boolean"))
     own = open_members.select("key", "v", "band", "total", "near", "label", "leads", *words_of(bands))
     others = leaders.select("key", "leader", "leader_total", "leader_near", "leader_label", F.col("leader_bits").alias("bits"), F.col("leader_marks").alias("marks"))
     others = others.select(*others.columns[:5], *words_of(bands, "leader_"))
-    met = own.join(others, "key").filter(
+    met = own.join(sent(others), "key").filter(
         (F.col("leads").isNull() | (F.col("v") > F.col("leader"))) & (F.col("label") != F.col("leader_label"))
         & (F.least("total", "leader_total") >= least * F.greatest("total", "leader_total"))
         & ~F.coalesce(apart, F.lit(False)) & ~shares_earlier("leader_", bands)
         & (agreements("leader_") >= least_agreements(least))
     )
     later = F.col("v") > F.col("leader")
-    return leaders, cut_lineage(met.select(
+    pairs = met.select(
         F.greatest("v", "leader").alias("a"), F.least("v", "leader").alias("b"),
         F.when(later, F.col("label")).otherwise(F.col("leader_label")).alias("label_a"),
         F.when(later, F.col("leader_label")).otherwise(F.col("label")).alias("label_b"),
-    ))
+    )
+    # else a hot bucket is split into as many parts as its share; parts beyond what the pairs ask for go together
+    return leaders, sent, cut_few(pairs, n_met, MET_OF_TASK, 4)
 
 
 def near_duplicates(
@@ -362,12 +394,12 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
     content = spare("content", documents)
     judged = near_duplicates(documents, id_column).select(id_column, F.col("content").alias(content), "kept")
     judged = cut_lineage(judged)
-    key = (id_column, content)
-    gone = cut_lineage(judged.filter("not kept").select(*key).distinct())
+    n_rows, key = judged.count(), (id_column, content)
+    gone = cut_few(judged.filter("not kept").select(*key).distinct(), n_rows, NARROW_ROWS)
     # rows that repeat both id and text are all marked as kept
     empty = content_of(F.lit(""))
     twice = judged.filter(F.col("kept") & (F.col(content) != empty)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    twice = cut_lineage(twice.filter("n > 1").select(*key))
+    twice = cut_few(twice.filter("n > 1").select(*key), n_rows, NARROW_ROWS)
     rows = documents.withColumn(content, content_of(F.col("text")))
     rows = join_rows(rows, checked_broadcast(gone), "left_anti", key)
     single = join_rows(rows, checked_broadcast(twice), "left_anti", key)

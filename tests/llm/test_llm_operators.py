@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitesieve.llm import dartminhash, queries, sql
+from sitesieve.llm import base, dartminhash, queries, sql
 from sitesieve.llm.base import held_out, table
 from sitesieve.llm.components import _roots, components, nearer_roots
 from sitesieve.llm.dartminhash import near_duplicates, one_of_each, similarity
@@ -209,6 +210,41 @@ def test_rounds_call_no_components_and_pairs_leave_the_compiled_stage(spark, mon
     assert 2 * len(dartminhash.words_of(dartminhash.BANDS)) > int(spark.conf.get("spark.sql.codegen.maxFields"))
 
 
+@pytest.mark.parametrize("leaders_sent", [64_000, 0])
+def test_rounds_write_files_by_their_rows(spark, monkeypatch, leaders_sent):
+    words = [f"w{i}" for i in range(150)]
+    rows = [(k, " ".join(f"n{k}x{i}" if i in (k * 3, k * 3 + 1) else w for i, w in enumerate(words))) for k in range(40)]
+    written = []
+
+    def counted(df):
+        cut = whole(df)
+        written.append(sum(1 for _ in Path(cut.cut_path).glob("part-*")))
+        return cut
+
+    whole = dartminhash.cut_lineage
+    for module in (dartminhash, base):
+        monkeypatch.setattr(module, "cut_lineage", counted)
+    monkeypatch.setattr(dartminhash, "MORE_LEADERS", 2)
+    monkeypatch.setattr(dartminhash, "LEADERS_SENT", leaders_sent)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(brute_classes(rows)))
+    assert len(written) > 10 and max(written) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_bucket_sizes(spark):
+    members = spark.createDataFrame([(1, k) for k in range(5)] + [(2, k) for k in range(3)], "key bigint, v bigint")
+    assert dartminhash.bucket_sizes(members, 4) == (8, 5 * 4 + 3 * 3)
+    assert dartminhash.bucket_sizes(members.limit(0), 4) == (0, 0)
+
+
 def test_pairs_by_their_words(spark):
     rng = np.random.default_rng(3)
     whole = rng.integers(0, 4, (2, dartminhash.COORDINATES), dtype=np.uint64)
