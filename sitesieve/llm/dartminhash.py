@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, release
-from .base import ROWS_OF_FILE, checked_broadcast, cut_few, join_rows, spare
+from .base import ROWS_OF_FILE, checked_broadcast, cut_few, join_rows, slices, spare
 from .components import components, nearer_roots
 from .shingles import U, chunks, mix, shingle_sets
 
@@ -56,8 +56,8 @@ NARROW_ROWS, TEXT_ROWS = 10 * ROWS_OF_FILE, 2_000
 LEADERS_SENT = 64_000
 # Shingles that a task remembers, of the texts it met last (32 MB).
 REMEMBERED = 1 << 21
-# Cells worked on at once.
-CELLS = 1 << 19
+# Cells worked on at once (some 130 bytes each).
+CELLS = 1 << 17
 
 _RANK_BITS = U(40)
 # Cumulated probabilities of 0, 1, 2, ... darts in a cell, times 2^32.
@@ -166,7 +166,7 @@ def shares_earlier(prefix: str, bands: int) -> Column:
 
 def _sketch(width: int, bands: int, rows: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
             totals, coded, bits = [np.zeros(0, np.int64)], [np.zeros((0, bands), U)], [np.zeros((0, COORDINATES // 32), U)]
             for piece in chunks(texts):
@@ -210,7 +210,7 @@ def _verify(width: int):
                     held -= len(known.popitem(last=False)[1][0]) + 1
             return known[v]
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             a, b, left, right = (batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))
             sims = [float(similarity(multiset(b[k], right[k]), multiset(a[k], left[k]))) for k in range(len(a))]
             yield pa.RecordBatch.from_arrays(

@@ -101,6 +101,18 @@ def test_words_are_those_of_the_pattern_and_need_no_match_each(spark):
     assert "regexp_extract_all" not in rows._jdf.queryExecution().toString()
 
 
+def test_workers_take_few_texts_out_of_a_batch_at_a_time():
+    n = 2 * base.ROWS_AT_ONCE + 7
+    texts = pa.array([None if k % 50 == 0 else " ".join(WORDS[k % 7 : k % 13 + 5]) for k in range(n)])
+    numbers = pa.array(range(n))
+    whole = pa.RecordBatch.from_arrays([numbers, numbers, texts], ["id", "content", "text"])
+    got = list(dartminhash._sketch(5, 32, 5)(iter([whole, whole.slice(0, 0)])))
+    assert [len(b) for b in got] == [base.ROWS_AT_ONCE, base.ROWS_AT_ONCE, 7, 0]
+    assert pa.Table.from_batches(got).column("id").to_pylist() == numbers.to_pylist()
+    pairs = pa.RecordBatch.from_arrays([numbers] * 4 + [texts.fill_null("x")] * 2, ["a", "b", "label_a", "label_b", "left", "right"])
+    assert max(len(b) for b in dartminhash._verify(5)(iter([pairs]))) == base.ROWS_AT_ONCE
+
+
 def test_near_terms(odd):
     got = near_terms(tokens(odd), "alpha", "gamma", 2).filter("doc_id = 1").select("pos", "other").distinct().collect()
     assert [tuple(r) for r in got] == [(0, 2)]
