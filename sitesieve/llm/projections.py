@@ -6,9 +6,10 @@ at the threshold the difference of two projections is normal with a known spread
 collisions is set from the binomial law to miss such a pair with a given small probability.
 
 The table is sorted by the first projection and cut into blocks; only blocks whose ranges come within the
-widest difference a similar pair can have are brought together. Inside such a pair of blocks collisions
-are counted in tiles, so no pair of vectors is ever a row; what leaves is per vector the number of its links
-and edges that connect what is linked. Equal vectors are collapsed first and counted by their number.
+widest difference a similar pair can have are brought together. A block is a stretch of a file in the shared
+folder, written once and read by each of its pairs, so what moves is names of blocks and no copy of a block. Inside
+such a pair of blocks collisions are counted in tiles, so no pair of vectors is ever a row; what leaves is per vector
+the number of its links and edges that connect what is linked. Equal vectors are collapsed first and counted by their number.
 
 Rules for odd rows: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing, and vectors of different lengths do not link; ids may be null or repeated, every row counts; other columns are ignored.
@@ -17,14 +18,17 @@ with nothing, and vectors of different lengths do not link; ids may be null or r
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage
-from .base import join_rows
+from ..session import cut_lineage, remove, shared_folder
+from .base import join_rows, open_shared
 from .components import components
 
 SEED = 20240229
@@ -36,7 +40,10 @@ BLOCK = 4096
 TILE = 256
 # Candidates of a tile up to this number are verified one by one, more by one product.
 FEW = 2048
-BLOCKS = "block bigint, size int, low double, high double, n bigint, numbers binary, copies binary, vectors binary"
+# Pairs of blocks that a task compares, if there are more than four times as many per core.
+PAIRS_AT_ONCE = 8
+# A row per vector: its number, and the block that holds it.
+PLACED = "v bigint, block bigint, size int, low double, high double, n bigint, file string, start bigint"
 
 
 def directions(dimensions: int, projections: int) -> np.ndarray:
@@ -64,55 +71,96 @@ def _first_window(cosine: float) -> float:
     return 5 * spread_of(cosine)
 
 
-def _pack(batches):
+def _stored(vectors: DataFrame) -> str:
+    """The type in which components are stored; all sums are of doubles."""
+    return "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+
+def _pack(stored: str):
     """Usable vectors as bytes; of the others nothing but a mark."""
-    for batch in batches:
-        packed = []
-        for v in batch.column(1).to_pylist():
-            x = None if v is None or any(c is None for c in v) else np.array(v, "<f8")
-            usable = x is not None and len(x) and np.isfinite(x).all() and 0 < np.linalg.norm(x) < math.inf
-            packed.append(x.tobytes() if usable else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["vec_id", "vector"])
-
-
-def _first_projection(batches):
-    for batch in batches:
-        packed = batch.column(1).to_pylist()
-        sizes = np.array([len(v) for v in packed], np.int64)
-        along = np.zeros(len(packed))
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            x = np.frombuffer(b"".join(packed[k] for k in rows), "<f8").reshape(len(rows), -1)
-            along[rows] = (x / np.linalg.norm(x, axis=1)[:, None]) @ directions(x.shape[1], 1)[:, 0]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along)], [*batch.schema.names, "along"])
-
-
-def _blocks(size: int):
-    """Consecutive rows of a sorted partition as blocks of at most `size` vectors of one length."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            # a null component is NaN, and so is the length of its vector
+            x = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            filled, length = sizes > 0, np.zeros(len(sizes))
+            if filled.any():
+                with np.errstate(over="ignore", invalid="ignore"):
+                    length[filled] = np.sqrt(np.add.reduceat(x * x, ends[:-1][filled]))
+            usable = np.isfinite(length) & (length > 0)
+            with np.errstate(over="ignore", invalid="ignore"):
+                data, width = x.astype(stored).tobytes(), int(stored[-1])
+            packed = [data[a * width : b * width] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], usable)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["vec_id", "vector"])
+
+    return run
+
+
+def _first_projection(stored: str):
+    def run(batches):
+        for batch in batches:
+            packed = batch.column("vector").to_pylist()
+            sizes = np.array([len(v) for v in packed], np.int64)
+            along = np.zeros(len(packed))
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                x = np.frombuffer(b"".join(packed[k] for k in rows), stored).reshape(len(rows), -1).astype("<f8")
+                along[rows] = (x / np.linalg.norm(x, axis=1)[:, None]) @ directions(x.shape[1], 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along)], [*batch.schema.names, "along"])
+
+    return run
+
+
+def _blocks(size: int, folder: str):
+    """Consecutive rows of a sorted partition as blocks of at most `size` vectors of one length, in a file of the partition.
+
+    Per vector: its content, first id and copies, its number and its block. A file of an attempt that failed is named by no row.
+    """
     def run(batches):
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, at, out, name = TaskContext.get().partitionId(), 0, 0, None, f"{folder}/{uuid.uuid4().hex}.block"
         for batch in batches:
-            lengths = batch.column(4).to_numpy()
+            lengths = pc.binary_length(batch.column("vector")).to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(np.diff(lengths)) + 1), len(lengths)]
             for a, b in zip(edges[:-1], edges[1:]):
                 for s in range(a, b, size):
-                    rows = batch.slice(s, min(size, b - s))
-                    along = rows.column(3)
+                    rows, block = batch.slice(s, min(size, b - s)), part << 32 | number
+                    n, along, numbers = rows.num_rows, rows.column("along"), block * size + np.arange(min(size, b - s))
+                    if out is None:
+                        fs, path = open_shared(name)
+                        fs.create_dir(path.rpartition("/")[0], recursive=True)
+                        out = fs.open_output_stream(path)
+                    data = b"".join([
+                        numbers.astype("<i8").tobytes(), rows.column("copies").to_numpy().astype("<i8").tobytes(), *rows.column("vector").to_pylist()])
+                    out.write(data)
+                    same = [(block, pa.int64()), (int(lengths[s]), pa.int32()), (along[0].as_py(), pa.float64()), (along[-1].as_py(), pa.float64()),
+                            (n, pa.int64()), (name, pa.string()), (at, pa.int64())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part << 32 | number], pa.int64()), pa.array([int(lengths[s])], pa.int32()),
-                         pa.array([along[0].as_py()]), pa.array([along[-1].as_py()]), pa.array([len(along)], pa.int64()),
-                         pa.array([rows.column(0).to_numpy().astype("<i8").tobytes()]),
-                         pa.array([rows.column(2).to_numpy().astype("<i8").tobytes()]),
-                         pa.array([b"".join(rows.column(1).to_pylist())])],
-                        ["block", "size", "low", "high", "n", "numbers", "copies", "vectors"],
+                        [rows.column("content"), rows.column("first_id"), rows.column("copies"), pa.array(numbers, pa.int64()),
+                         *[pa.array([value] * n, kind) for value, kind in same]],
+                        ["content", "first_id", "copies", "v", "block", "size", "low", "high", "n", "file", "start"],
                     )
-                    number += 1
+                    number, at = number + 1, at + len(data)
+        if out is not None:
+            out.close()
 
     return run
 
 
+def _read_block(file: str, start: int, n: int, size: int, stored: str):
+    """Numbers, copies and vectors of a block."""
+    fs, path = open_shared(file)
+    with fs.open_input_file(path) as stream:
+        data = stream.read_at(n * (16 + size), start)
+    if len(data) != n * (16 + size):
+        raise OSError(f"a block of {file} is cut off")
+    vectors = np.frombuffer(data, stored, offset=16 * n).reshape(n, -1).astype("<f8")
+    return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n), vectors
+
+
 class _Links:
     """Groups of connected rows of two blocks, and the number of links of each row."""
 
@@ -179,18 +227,19 @@ def link_blocks(x, y, copies_x, copies_y, same: bool, cosine: float, projections
     return state
 
 
-def _link(cosine: float):
+def _link(cosine: float, stored: str):
+    """Links of listed pairs of blocks, which are read from their files."""
     def run(batches):
+        held, block = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                x = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
-                same = row["block"] == row["other"]
-                y = x if same else np.frombuffer(row["other_vectors"], "<f8").reshape(row["other_n"], -1)
-                if x.shape[1] != y.shape[1]:
-                    continue
-                get = lambda name: np.frombuffer(row[name], "<i8")
-                state = link_blocks(x, y, get("copies"), get("other_copies"), same, cosine)
-                ids = np.concatenate([get("numbers"), get("other_numbers")])
+                if row["block"] != block:
+                    block, held = row["block"], _read_block(row["file"], row["start"], row["n"], row["size"], stored)
+                numbers, copies, x = held
+                same = row["other"] == block
+                others = held if same else _read_block(row["other_file"], row["other_start"], row["other_n"], row["size"], stored)
+                state = link_blocks(x, others[2], copies, others[1], same, cosine)
+                ids = np.concatenate([numbers, others[0]])
                 seen = np.flatnonzero(state.links)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[seen]), pa.array(state.links[seen]), pa.array(ids[state.parent[seen]])],
@@ -200,41 +249,43 @@ def _link(cosine: float):
     return run
 
 
+def _block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
+    """Pairs of blocks of one length whose ranges come within `reach` of each other, with the places of both in their files."""
+    cells = blocks.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / reach), F.floor(F.col("high") / reach) + 1)))
+    names = {"block": "other", "low": "other_low", "high": "other_high", "n": "other_n", "file": "other_file", "start": "other_start"}
+    # ranges that come within reach of each other share a cell
+    close = cells.join(cells.withColumnsRenamed(names), ["size", "cell"]).filter(
+        (F.col("other_low") <= F.col("high") + reach) & (F.col("low") <= F.col("other_high") + reach) & (F.col("block") <= F.col("other"))
+    )
+    return close.select("size", "block", "file", "start", "n", "other", "other_file", "other_start", "other_n").distinct()
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of `vectors` (`vec_id`, `embedding`)."""
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    packed = vectors.select("vec_id", "embedding").mapInArrow(_pack, f"vec_id {kind}, vector binary")
-    rows = cut_lineage(packed.withColumn("content", F.when(F.col("vector").isNotNull(), F.unhex(F.md5("vector")))))
-    distinct = rows.filter("content is not null").groupBy("content").agg(
+    kind, stored, spark = vectors.schema["vec_id"].dataType.simpleString(), _stored(vectors), vectors.sparkSession
+    packed = vectors.select("vec_id", "embedding").mapInArrow(_pack(stored), f"vec_id {kind}, vector binary")
+    packed = packed.withColumn("content", F.when(F.col("vector").isNotNull(), F.unhex(F.md5("vector"))))
+    # vectors are packed again where they are needed, as writing them would take as much disk as the table
+    rows = cut_lineage(packed.select("vec_id", "content"))
+    distinct = packed.filter("content is not null").groupBy("content").agg(
         F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")
     )
-    numbered = cut_lineage(distinct.withColumn("v", F.monotonically_increasing_id()))
-    along = numbered.select("v", "vector", "copies").mapInArrow(
-        _first_projection, "v bigint, vector binary, copies bigint, along double"
+    along = distinct.mapInArrow(
+        _first_projection(stored), f"content binary, first_id {kind}, copies bigint, vector binary, along double"
     )
     # vectors of another length are kept apart
-    size = numbered.count()
+    size = rows.filter("content is not null").agg(F.count_distinct("content")).first()[0]
     parts = max(1, -(-size // block))
-    sorted_rows = along.withColumn("size", F.octet_length("vector")).repartitionByRange(parts, "size", "along", "v")
-    sorted_rows = sorted_rows.sortWithinPartitions("size", "along", "v").select("v", "vector", "copies", "along", "size")
-    blocks = cut_lineage(sorted_rows.mapInArrow(_blocks(block), BLOCKS))
-    reach = _first_window(cosine)
-    spans = blocks.select("block", "size", "low", "high")
-    cells = spans.select("block", "size", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / reach), F.floor(F.col("high") / reach) + 1)).alias("cell"))
-    right = cells.select(F.col("block").alias("other"), "size", F.col("low").alias("other_low"), F.col("high").alias("other_high"), "cell")
-    # ranges that come within reach of each other share a cell
-    close = cells.join(right, ["size", "cell"]).filter(
-        (F.col("other_low") <= F.col("high") + reach) & (F.col("low") <= F.col("other_high") + reach) & (F.col("block") <= F.col("other"))
-    ).select("block", "other").distinct()
-    own = blocks.select("block", "n", "numbers", "copies", "vectors")
-    other = own.select(
-        F.col("block").alias("other"), F.col("n").alias("other_n"), F.col("numbers").alias("other_numbers"),
-        F.col("copies").alias("other_copies"), F.col("vectors").alias("other_vectors"),
-    )
-    pairs = cut_lineage(close)
-    n_pairs = max(1, pairs.count())
-    met = pairs.join(own, "block").join(other, "other").repartition(n_pairs)
-    found = cut_lineage(met.mapInArrow(_link(cosine), "v bigint, links bigint, root bigint"))
+    length = F.octet_length("vector")
+    sorted_rows = along.repartitionByRange(parts, length, "along", "content").sortWithinPartitions(length, "along", "content")
+    folder = f"{shared_folder(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    numbered = cut_lineage(sorted_rows.mapInArrow(
+        _blocks(block, folder), f"content binary, first_id {kind}, copies bigint, {PLACED}"))
+    pairs = cut_lineage(_block_pairs(numbered.select("block", "size", "low", "high", "n", "file", "start").distinct(), _first_window(cosine)))
+    n_pairs, cores = max(1, pairs.count()), spark.sparkContext.defaultParallelism
+    met = pairs.repartition(min(n_pairs, max(4 * cores, n_pairs // PAIRS_AT_ONCE))).sortWithinPartitions("block", "other")
+    found = cut_lineage(met.mapInArrow(_link(cosine, stored), "v bigint, links bigint, root bigint"))
+    remove(spark, folder)
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
     known = numbered.select("v", "content", "first_id", "copies").join(links, "v", "left").join(joined, "v", "left")

@@ -330,6 +330,20 @@ def test_vectors_like_brute_force(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_pairs_of_blocks_move_no_vectors(spark, monkeypatch):
+    from sitesieve.llm import projections
+
+    x = np.random.default_rng(2).standard_normal((600, 16)).astype("f4")
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    seen, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: seen.append((self, real(self, *a, **k))) or seen[-1][1])
+    near_vectors(df, block=64).count()
+    (given, _), = [s for s in seen if "other" in s[0].columns]
+    assert given.count() > 40 and not [t for _, t in given.dtypes if t == "binary"]
+    # nor are they written again as doubles
+    assert projections._stored(df) == "<f4" and projections._stored(df.withColumn("embedding", F.col("embedding").cast("array<double>"))) == "<f8"
+
+
 # ---- pages
 
 def test_pages_of_odd_rows(spark):
