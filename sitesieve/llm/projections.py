@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, remove, shared_folder
-from .base import join_rows, open_shared
+from ..session import cut_folder, cut_lineage, open_shared, remove
+from .base import join_rows
 from .components import components
 
 SEED = 20240229
@@ -278,7 +278,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -
     parts = max(1, -(-size // block))
     length = F.octet_length("vector")
     sorted_rows = along.repartitionByRange(parts, length, "along", "content").sortWithinPartitions(length, "along", "content")
-    folder = f"{shared_folder(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    folder = f"{cut_folder(spark)}/{uuid.uuid4().hex}"
     numbered = cut_lineage(sorted_rows.mapInArrow(
         _blocks(block, folder), f"content binary, first_id {kind}, copies bigint, {PLACED}"))
     pairs = cut_lineage(_block_pairs(numbered.select("block", "size", "low", "high", "n", "file", "start").distinct(), _first_window(cosine)))
