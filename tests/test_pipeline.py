@@ -72,6 +72,33 @@ def test_two_rows_of_one_label_give_one_row_on_each_side(spark):
     assert preparation.labels == ["A"]
 
 
+def test_a_gram_filter_is_built_once(spark, monkeypatch):
+    from sitesieve.operators import gramfilter, segment
+
+    rows = spark.createDataFrame(page_rows(40), SCHEMA)
+    grams = spark.createDataFrame([("shop", 50.0), ("site", 60.0), ("news", 40.0)], "gram string, n double")
+    monkeypatch.setattr(segment, "BROADCAST_GRAMS", 0)
+    built, real = [], gramfilter.GramFilter.fit.__func__
+    monkeypatch.setattr(gramfilter.GramFilter, "fit", classmethod(lambda cls, *a, **k: built.append(1) or real(cls, *a, **k)))
+    _, preparation = datasets.prepare_training(rows, grams, numeric=["nb_imgs"], components=0, gram_total=1000.0, window_size=16)
+    datasets.prepare_inputs(rows.drop("label"), preparation)
+    assert built == [1]
+
+
+def test_labels_travel_to_the_pages(spark, monkeypatch):
+    from sitesieve.registry import queries
+
+    seen = []
+    monkeypatch.setattr(queries.datasets, "prepare_training", lambda rows, grams, **k: seen.append(rows) or (rows, None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, _, pool = queries._prepared(spark, "/root/testdata/sf0.001", queries.I.visits_both)
+        for df in (seen[0], pool):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_features_by_projection_equal_features_by_joins(spark, prepared):
     rows, _, preparation, _ = prepared
     from sitesieve.operators.visits import basic_columns
