@@ -272,7 +272,8 @@ def similar_edges(
     ), n_open)
     edges, leaders_per_bucket = None, 1
     while n_open:
-        leaders, sent, pairs = _meet(open_members, n_open, n_met, leaders_per_bucket, least, bands)
+        leaders, pairs = _meet(open_members, n_open, n_met, leaders_per_bucket, least, bands)
+        sent = _sender(leaders)
         # pairs of one bucket lie together: spread them, as each is much work
         spread = max(4 * spark.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_OF_TASK))
         both = pairs.repartition(spread, "a", "b").join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a").join(
@@ -312,11 +313,15 @@ def bucket_sizes(members: DataFrame, leaders_per_bucket: int) -> tuple[int, int]
     return got["n"] or 0, got["met"] or 0
 
 
+def _sender(leaders: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What marks leaders for a broadcast if they are few."""
+    return F.broadcast if leaders.count() <= LEADERS_SENT else lambda df: df
+
+
 def _meet(
     open_members: DataFrame, n_open: int, n_met: int, leaders_per_bucket: int, least: float, bands: int
-) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame]:
-    """The leaders of every bucket, what marks them for a broadcast if they are few, and the pairs (a, b, label_a, label_b)
-    of members with leaders to be compared."""
+) -> tuple[DataFrame, DataFrame]:
+    """The leaders of every bucket, and the pairs (a, b, label_a, label_b) of members with leaders to be compared."""
     slot = F.pmod(F.xxhash64("v", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket)).alias("slot")
     first = F.min(F.struct("v", "near", "total", "bits", "marks", "label")).alias("f")
     of_leader = {"v": "leader", **{c: f"leader_{c}" for c in ("near", "total", "bits", "marks", "label")}}
@@ -325,7 +330,7 @@ def _meet(
     ), n_open)
     # few leaders go to their members, which are dealt evenly, so a hot bucket needs no split
     spark = open_members.sparkSession
-    sent = F.broadcast if leaders.count() <= LEADERS_SENT else lambda df: df
+    sent = _sender(leaders)
     if sent is F.broadcast:
         open_members = open_members.repartition(max(4 * spark.sparkContext.defaultParallelism, -(-n_met // MET_OF_TASK)))
     # distances (1 - similarity) obey the triangle inequality: far apart as seen from the first leader is far apart
@@ -352,7 +357,7 @@ def _meet(
         F.when(later, F.col("leader_label")).otherwise(F.col("label")).alias("label_b"),
     )
     # else a hot bucket is split into as many parts as its share; parts beyond what the pairs ask for go together
-    return leaders, sent, cut_few(pairs, n_met, MET_OF_TASK, 4)
+    return leaders, cut_few(pairs, n_met, MET_OF_TASK, 4)
 
 
 def near_duplicates(
